@@ -10,12 +10,13 @@ what lies beyond can't matter.
 How it is distributed. Sorting all suffixes of a corpus moves every one of them several times. So
 suffixes are first dealt to buckets that hold all equal ones: every window of `length` bytes is named
 by the first of its least-hashed `KMER`-byte strings (its anchor), so equal windows have equal anchors.
-(1) Documents are dealt to cells of about `cell_bytes`. Each cell sends the hash of each anchor once
-to the anchor's bucket; a bucket answers which of them occur in more than one document. (2) Each cell
-sends, for those anchors only, the stretches of text whose windows the anchor names, equal stretches
+(1) Documents are dealt to cells of about `cell_bytes`. Each cell sends the hashes of its anchors,
+widened to the left or right by half of what a window holds besides (one of the two lies in the
+window), once to the hash's bucket, which answers which of them occur in more than one document.
+(2) Each cell sends, for those anchors only, the stretches of text whose windows the anchor names, equal stretches
 once and with the least doc_id; each bucket sorts the suffixes of its distinct stretches (as above)
 and answers the least doc_id of every window. (3) The cell marks its documents. Nothing is lost by
-(1): a window that occurs in two documents has an anchor that does.
+(1): a window that occurs in two documents has a widened anchor that does.
 
 Whole copies of a document with a smaller doc_id are found first, by digest, and aren't sent at all:
 all of their windows are covered, and whatever occurs in them also occurs in that document.
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import cut, parts_for
 from .neardup import mix
 
-LENGTH, KMER, CELL_BYTES = 50, 16, 8 << 20
+LENGTH, KMER, CELL_BYTES = 50, 16, 6 << 20
 _M = np.uint64(0xD6E8FEB86659FD93)
 _NO = np.empty(0, np.int64)
 
@@ -145,29 +146,56 @@ class Anchors:
         whole = np.ones(max(0, n), bool)  # whether a window lies in one document
         for e in ends.tolist():
             whole[max(0, e - length + 1) : e] = False
-        hashes, firsts, befores = [], [], []
+        # what a window holds besides its anchor is at least `side` bytes long on one side of it
+        side = -(-(length - KMER) // 2)
+        wide = KMER + side
+        hashes, firsts, befores, ats, lefts, rights = [], [], [], [], [], []
         anchor, window = -1, -1
         for a in range(0, n, _STEP):
             use = np.flatnonzero(whole[a : a + _STEP])
             if not len(use):
                 continue
-            h = b[a : a + _STEP + length - 1].astype(np.uint64)
+            h = b[a : a + _STEP + length - 1 + side].astype(np.uint64)
+            by_power, power, have = {1: (h, _M)}, _M, 1
             with np.errstate(over="ignore"):
-                power = _M
-                for step in (1, 2, 4, 8):
-                    h = h[: len(h) - step] * power + h[step:]
-                    power = power * power
-                h = mix(h)
-            at = self._least(h, length - KMER + 1)[use]
-            new = np.r_[at[0] + a != anchor, at[1:] != at[:-1]]
-            hashes.append(h[at[new]])
-            firsts.append(use[new] + a)
+                while have * 2 <= wide:
+                    h = h[: len(h) - have] * power + h[have:]
+                    power, have = power * power, have * 2
+                    by_power[have] = (h, power)
+                h, _ = by_power[KMER]
+                h = mix(h[: min(_STEP + length - KMER, len(b) - a - KMER + 1)])
+                at = self._least(h, length - KMER + 1)[use]
+                new = np.r_[at[0] + a != anchor, at[1:] != at[:-1]]
+                at_new, first_new = at[new], use[new]
+                # the anchor with `side` bytes before it, and with as many after it
+                for places, out in ((at_new - side, lefts), (at_new, rights)):
+                    places = np.clip(places, 0, max(0, len(b) - a - wide))
+                    x, k = np.zeros(len(places), np.uint64), 0
+                    for size in sorted(by_power, reverse=True):
+                        while k + size <= wide:
+                            part, power = by_power[size]
+                            x = x * power + part[np.minimum(places + k, len(part) - 1)]
+                            k += size
+                    out.append(mix(x))
+            hashes.append(h[at_new])
+            ats.append(at_new + a)
+            firsts.append(first_new + a)
             befores.append(np.r_[window, use[:-1] + a][new])
             anchor, window = int(at[-1]) + a, int(use[-1]) + a
-        self.hash = np.concatenate([np.empty(0, np.uint64), *hashes])
-        self.first = np.concatenate([_NO, *firsts])
+        none = np.empty(0, np.uint64)
+        self.hash, self.first, self.at = np.concatenate([none, *hashes]), np.concatenate([_NO, *firsts]), np.concatenate([_NO, *ats])
         self.last = np.r_[np.concatenate([_NO, *befores])[1:], window][: len(self.first)]
         self.doc = np.searchsorted(ends, self.first, side="right")
+        self.left, self.right = np.concatenate([none, *lefts]), np.concatenate([none, *rights]) ^ _M
+        self.has_left, self.has_right = self.at - self.first >= side, self.last + length - self.at >= wide
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of widened anchors, one of which each window holds, and their documents."""
+        return np.concatenate([self.left[self.has_left], self.right[self.has_right]]), np.concatenate([self.doc[self.has_left], self.doc[self.has_right]])
+
+    def with_keys(self, wanted: np.ndarray) -> np.ndarray:
+        """Numbers of anchors that have one of the wanted keys."""
+        return np.flatnonzero((self.has_left & np.isin(self.left, wanted)) | (self.has_right & np.isin(self.right, wanted)))
 
     @staticmethod
     def _least(h: np.ndarray, span: int) -> np.ndarray:
@@ -225,9 +253,9 @@ def _stages(length: int, buckets: int, keep_text: bool):
         rows = []
         if left.num_rows:
             _, texts, ids = _texts(left, _copies(right))
-            a = Anchors(texts, length)
-            order = np.argsort(a.hash, kind="stable")
-            h, d = a.hash[order], ids[a.doc[order]] if len(order) else _NO
+            keys, doc = Anchors(texts, length).keys()
+            order = np.argsort(keys, kind="stable")
+            h, d = keys[order], ids[doc[order]] if len(order) else _NO
             start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else _NO
             many = (np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)).astype(np.uint8) if len(h) else np.empty(0, np.uint8)
             h, cell = h[start], left.column("cell")[0].as_py()
@@ -261,7 +289,7 @@ def _stages(length: int, buckets: int, keep_text: bool):
         if left.num_rows and len(wanted):
             _, texts, ids = _texts(left, _copies(right))
             a = Anchors(texts, length)
-            hit = np.flatnonzero(np.isin(a.hash, wanted))
+            hit = a.with_keys(wanted)
             found: dict[bytes, list] = {}
             for i, h, d in zip(hit.tolist(), a.hash[hit].tolist(), ids[a.doc[hit]].tolist(), strict=True):
                 x = a.stretch(i, length)
@@ -292,22 +320,33 @@ def _stages(length: int, buckets: int, keep_text: bool):
         """Bucket -> sort the suffixes of its stretches; to each cell, the least doc_id of the windows of its stretches."""
         seen: dict[bytes, int] = {}
         low: list[int] = []
+        anchor_of: list[int] = []
         asked = []
         for r in t.to_pylist():
             sizes = np.frombuffer(r["sizes"], np.uint32).tolist()
             own, at = [], 0
-            for n, d in zip(sizes, np.frombuffer(r["low"], np.int64).tolist(), strict=True):
+            hashes = np.frombuffer(r["hashes"], np.uint64)
+            for n, d, h in zip(sizes, np.frombuffer(r["low"], np.int64).tolist(), hashes.tolist(), strict=True):
                 x = r["text"][at : at + n]
                 at += n
                 k = seen.setdefault(x, len(low))
                 if k == len(low):
                     low.append(d)
+                    anchor_of.append(h)
                 else:
                     low[k] = min(low[k], d)
                 own.append(k)
-            asked.append((r["cell"], np.frombuffer(r["hashes"], np.uint64), own, np.frombuffer(r["high"], np.int64)))
+            asked.append((r["cell"], hashes, own, np.frombuffer(r["high"], np.int64)))
         texts = list(seen)
-        least = least_doc(texts, np.array(low, np.int64), length)
+        # equal windows have equal anchors: where an anchor has one stretch only, all its windows are that stretch's
+        alone = np.zeros(len(texts), bool)
+        _, at, n = np.unique(np.array(anchor_of, np.uint64), return_index=True, return_counts=True)
+        alone[at[n == 1]] = True
+        least = [np.full(len(x) - length + 1, d, np.int64) for x, d in zip(texts, low, strict=True)]
+        several = np.flatnonzero(~alone).tolist()
+        if several:
+            for i, m in zip(several, least_doc([texts[i] for i in several], np.array(low, np.int64)[several], length), strict=True):
+                least[i] = m
         names = [xxhash.xxh3_128_digest(x) for x in texts]
         runs = []
         for m in least:
