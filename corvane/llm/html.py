@@ -55,7 +55,8 @@ _KEEP = set("article content main post entry story body text".split())
 
 Weights = dict[str, float]
 #: Scores before anything is learned.
-PRIOR: Weights = {"word:text": 1.0, "word:head": 1.0, "word:item": 0.5, "word:link": -0.6, "tag": -0.6, "zone": -2.0, "inside": 2.0, "outside": -2.0}
+PRIOR: Weights = {"word:text": 1.0, "word:head": 1.0, "word:item": 0.5, "word:link": -0.6, "tag": -0.3, "zone": -0.1, "inside": 2.0, "outside": -2.0}
+PRIOR |= {f"tag:{name}": -0.05 for name in "p br b i em strong span code sup sub h1 h2 h3".split()}
 
 
 def _marked(attributes: str) -> bool:
@@ -106,8 +107,8 @@ def tokens(page: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[list
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
+                items.append(("zone" if zone else "tag", name, content > 0, len(blocks) - 1))
                 pop_to(depth)
-                items.append(("tag", name, content > 0, len(blocks) - 1))
             if name in _BLOCKS:
                 fresh()
             continue
@@ -139,7 +140,7 @@ def tokens(page: str) -> tuple[list[tuple[str, str, bool, int]], list[tuple[list
         if name not in _VOID and not m[3].endswith("/"):
             stack.append((name, is_zone, is_content))
             zone, content, links = zone + is_zone, content + is_content, links + (name == "a")
-        items.append(("tag", name, content > 0, len(blocks) - 1))
+        items.append(("zone" if zone else "tag", name, content > 0, len(blocks) - 1))
         if name in _BLOCKS or is_zone:
             fresh()
     return items, blocks

@@ -67,7 +67,7 @@ def term_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
                 h ^= h >> np.uint32(15)
             parts.append(h & np.uint32(FEATURES - 1))
     total = np.bincount(np.concatenate(parts), minlength=FEATURES)
-    at = np.flatnonzero(total)
+    at = np.flatnonzero(total != 0)
     return at, total[at].astype(float)
 
 

@@ -69,6 +69,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(1 << 32))
+_FOLDED = _BYTES.copy()
+_FOLDED[65:91] = _BYTES[97:123]
+_LETTERS = np.zeros(256, np.int32)
+_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _P = 0x5851F42D4C957F2D
 
 
@@ -104,13 +108,18 @@ class Shingler:
             np.cumsum(_BYTES[b] * self.powers[: len(b)], out=run[1:])
             return mix((run[ends] - run[starts]) * self.inverses[starts])
 
-    def words_with_letters(self, text: str) -> int:
-        """How many words hold an ASCII letter or anything beyond ASCII."""
+    def scan(self, text: str) -> tuple[np.ndarray, int, np.ndarray]:
+        """Word hashes (ASCII case folded only), how many words hold a letter (or anything beyond ASCII), and how often each byte occurs."""
         b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
         part = np.diff(np.r_[True, _SPACE[b], True].view(np.int8))
         starts, ends = np.flatnonzero(part == -1), np.flatnonzero(part == 1)
-        letters = np.r_[0, np.cumsum(((b | 32) - 97 < 26) | (b > 127))]
-        return int((letters[ends] > letters[starts]).sum())
+        self._reach(len(b) + 1)
+        run, letters = np.zeros(len(b) + 1, np.uint64), np.zeros(len(b) + 1, np.int32)
+        with np.errstate(over="ignore"):
+            np.cumsum(_FOLDED[b] * self.powers[: len(b)], out=run[1:])
+            h = mix((run[ends] - run[starts]) * self.inverses[starts])
+        np.cumsum(_LETTERS[b], out=letters[1:])
+        return h, int((letters[ends] > letters[starts]).sum()), np.bincount(b, minlength=256)
 
     def all(self, text: str) -> np.ndarray:
         h = self.word_hashes(text)

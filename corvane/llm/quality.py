@@ -27,24 +27,27 @@ from pyspark.sql import functions as F
 
 from .neardup import Shingler, mix
 
-FEATURES, SAMPLE, EPOCHS, KEEP = 1 << 16, 6000, 6, 0.5
+FEATURES, SAMPLE, EPOCHS, KEEP = 1 << 16, 6000, 6, 0.3
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 
 def measures(text: str, shingler: Shingler) -> tuple[np.ndarray, np.ndarray]:
     """Measured values of a text (see LABELLERS for their order) and its word hashes."""
-    h = shingler.word_hashes(text)
+    h, with_letter, b = shingler.scan(text)
     n = len(h)
-    b = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     chars = max(1, len(text))
     upper, lower, digits = int(b[65:91].sum()), int(b[97:123].sum()), int(b[48:58].sum())
     ends = int(b[[33, 46, 63]].sum())
     marks = int(b[[33, 34, 39, 40, 41, 44, 45, 46, 58, 59, 63]].sum())
     spaces = int(b[[9, 10, 11, 12, 13, 32]].sum())
     symbols = int(b[:128].sum()) - upper - lower - digits - marks - spaces
-    with_letter = shingler.words_with_letters(text)
-    distinct, counts = np.unique(h, return_counts=True)
+    ordered = np.sort(h)
+    runs = np.diff(np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])) if n else np.array([0])
     change = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]) if n else np.array([0, 0])
+    distinct = len(runs)
+    if n >= 400:
+        first = np.sort(h[:400])
+        distinct = 1 + int((first[1:] != first[:-1]).sum())
     lines = [x for x in text.split("\n") if x.strip()]
     repeated = sum(c for c in Counter(lines).values() if c > 1)
     return np.array(
@@ -53,13 +56,13 @@ def measures(text: str, shingler: Shingler) -> tuple[np.ndarray, np.ndarray]:
             (chars - spaces) / max(1, n),
             symbols / max(1, n),
             with_letter / n if n else 0.0,
-            counts.max() / n if n else 1.0,
+            runs.max() / n if n else 1.0,
             np.diff(change).max() if n else 0,
             repeated / len(lines) if lines else 1.0,
             upper / max(1, upper + lower),
             ends / max(1, n),
             digits / chars,
-            len(distinct) / max(1, n) if n < 400 else len(np.unique(h[:400])) / 400,
+            distinct / max(1, min(n, 400)),
         ],
         float,
     ), h
@@ -67,7 +70,7 @@ def measures(text: str, shingler: Shingler) -> tuple[np.ndarray, np.ndarray]:
 
 #: For each measured value: name, bounds of good, bounds beyond which it is bad.
 LABELLERS = (
-    ("words", (50, np.inf), (20, np.inf)),
+    ("words", (20, np.inf), (5, np.inf)),
     ("word_length", (3.0, 9.0), (2.0, 14.0)),
     ("symbols_per_word", (0.0, 0.02), (0.0, 0.1)),
     ("words_with_letters", (0.9, 1.0), (0.8, 1.0)),
@@ -115,7 +118,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
 
 def features(values: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: distinct words (together of norm 1) and the bucket of each measured value."""
-    words, counts = np.unique((hashes & np.uint64(FEATURES - 1)).astype(np.int64), return_counts=True)
+    ordered = np.sort((hashes & np.uint64(FEATURES - 1)).astype(np.uint16))
+    start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+    words, counts = ordered[start].astype(np.int64), np.diff(np.r_[start, len(ordered)])
     x = np.log1p(counts)
     norm = np.sqrt((x * x).sum())
     bucket = np.floor(np.log2(np.maximum(values, 1e-6)) * 2).astype(np.int64)

@@ -222,9 +222,11 @@ def _texts(t: pa.Table, dropped: set[int]) -> tuple[list[int], list[bytes], np.n
 
 def _split(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order of `hashes` by bucket, and where each bucket lies in it."""
+    if not len(hashes):
+        return _NO, []
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, bucket[order[1:]] != bucket[order[:-1]]]) if len(order) else _NO
+    cuts = np.flatnonzero(np.r_[True, bucket[order[1:]] != bucket[order[:-1]]])
     return order, [(int(bucket[order[a]]), slice(a, z)) for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True)]
 
 
