@@ -13,8 +13,8 @@ Jaccard that a similarity of 0.8 is measured with; "count" weighs by occurrences
 
 Pairs: equal shingle sets are folded first (one representative each). Representatives that share a
 band's hash are linked to the bucket's first member and the link is verified on the exact shingle
-sets; members that fail there are held against the other members of the bucket, where the triangle
-inequality of the Jaccard distance doesn't already rule the pair out. Groups are the connected
+sets; members that fail there are held against the members of the bucket that no link has put in
+their group yet, where the triangle inequality of the Jaccard distance doesn't rule the pair out. Groups are the connected
 components of verified links, found by iterated minimum labels.
 
 How it scales: text is read once for the signatures and once, for documents in some bucket only, for
@@ -318,27 +318,32 @@ def groups(
         return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_verifier(weighting), "a bigint, b bigint, s double")
 
     star = cut(verified(member.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()))
-    # what failed against its bucket's first member is held against the others of the bucket
+    label = components(star.where(F.col("s") >= similarity).select("a", "b")).withColumnRenamed("node", "rep")
+    # what failed against its bucket's first member is held against those of the bucket that aren't in its group by now
     graded = member.join(star, (F.col("a") == F.col("lead")) & (F.col("b") == F.col("rep"))).select("band", "h", "rep", "n", "s")
-    failed = graded.where(F.col("s") < similarity).select("band", "h", F.col("rep").alias("f"), F.col("n").alias("fn"), F.col("s").alias("fs"))
-    slack = 1 - similarity + 1e-9
-    rest = (
-        failed.join(graded, ["band", "h"])
-        .where(F.col("f") != F.col("rep"))
-        .where((F.col("s") >= similarity) | (F.col("f") < F.col("rep")))
-        .where(F.abs(F.col("s") - F.col("fs")) <= slack)
-        .where((F.col("fn") >= similarity * F.col("n")) & (F.col("n") >= similarity * F.col("fn")) if weighting == "set" else F.lit(True))
-        .select(F.least("f", "rep").alias("a"), F.greatest("f", "rep").alias("b"))
-        .distinct()
+    graded = graded.join(label, "rep", "left").withColumn("own", F.coalesce("label", "rep")).drop("label")
+    failed = graded.where(F.col("s") < similarity).select("band", "h", F.col("rep").alias("f"), F.col("n").alias("fn"), F.col("s").alias("fs"), F.col("own").alias("f_own"))
+    near = (
+        (failed["band"] == graded["band"])
+        & (failed["h"] == graded["h"])
+        & (F.col("f_own") != F.col("own"))
+        & ((F.col("s") >= similarity) | (F.col("f") < F.col("rep")))
+        & (F.abs(F.col("s") - F.col("fs")) <= 1 - similarity + 1e-9)
     )
-    rest = cut(rest.join(star, ["a", "b"], "left_anti"))
-    links = star.where(F.col("s") >= similarity).select("a", "b")
+    if weighting == "set":
+        near &= (F.col("fn") >= similarity * F.col("n")) & (F.col("n") >= similarity * F.col("fn"))
+    rest = failed.join(graded, near).select(
+        F.least("f", "rep").alias("a"), F.greatest("f", "rep").alias("b"), F.least("f_own", "own").alias("own_a"), F.greatest("f_own", "own").alias("own_b")
+    )
+    rest = cut(rest.distinct().join(star, ["a", "b"], "left_anti"))
+    found = folded.select("content", "rep").join(label, "rep", "left").select("content", F.coalesce("label", "rep").alias("own"))
     if not rest.isEmpty():
-        links = links.union(verified(rest).where(F.col("s") >= similarity).select("a", "b"))
-    label = components(links)
+        more = verified(rest.select("a", "b")).where(F.col("s") >= similarity).join(rest, ["a", "b"]).select(F.col("own_a").alias("a"), F.col("own_b").alias("b"))
+        joined = components(more).select(F.col("node").alias("own"), F.col("label").alias("joined"))
+        found = found.join(joined, "own", "left").select("content", F.coalesce("joined", "own").alias("own"))
     return (
         one.select("doc_id", "content")
-        .join(folded.select("content", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("content", F.coalesce("label", "rep").alias("class_id")), "content")
+        .join(found.withColumnRenamed("own", "class_id"), "content")
         .select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))
     )
 
