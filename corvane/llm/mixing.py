@@ -97,8 +97,9 @@ def slots(goal: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     )
     step = 1 << 14
     runs = g.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("n_slots") - 1), F.lit(step).cast("bigint"))).alias("first"))
-    # runs of slots of one source, dealt evenly before they are spelt out
-    each = runs.repartition("source", "first").select("*", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + step, F.col("n_slots")) - 1)).alias("r"))
+    # runs of slots of one source, dealt evenly before they are spelt out; so many partitions are asked for that small rows aren't coalesced into one task
+    spread = parts_for(goal.agg(F.sum("n_slots")).first()[0] or 0, step, 8)
+    each = runs.repartition(spread, "source", "first").select("*", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + step, F.col("n_slots")) - 1)).alias("r"))
     to = permuted(F.col("base") + F.col("r"), F.col("all_slots"), F.lit("slots"))
     epoch = F.floor(F.col("r") / F.col("n_blocks")).cast("bigint")
     return each.select(
