@@ -161,8 +161,12 @@ def learn(documents: DataFrame, may_learn: Column, per_lang: int = PER_LANG) ->
         df[r.column("feature").to_numpy()] = r.column("df").to_numpy()
     idf = np.log((1 + df[FEATURES]) / (1 + df[:FEATURES])) + 1
 
+    # the least hashes of each language; a threshold from its count leaves about four times as many as are taken, so that no task sees a whole language
+    counts = docs.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids"))
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    near = docs.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(place < 4.0 * per_lang / F.col("ids")).select("doc_id", "lang").distinct()
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.select("doc_id", "lang").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("doc_id").distinct()
+    chosen = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("doc_id").distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
