@@ -17,6 +17,7 @@ documents; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, most: int = 300_000):
+        # a task has one core; the tokenizer's own threads would only contend with the other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.most, self.known = Tokenizer.from_file(path), most, {}
