@@ -10,6 +10,9 @@ How it scales: one pass counts vote patterns over all documents (at most 3^label
 the data), the scorer is trained on at most `SAMPLE` documents, chosen by a hash of doc_id among all,
 and scoring is a map. Only the weights (2^16 numbers) are sent out.
 
+Every value is measured over the whole text. The share of distinct words falls with a text's length, so
+it is the mean over consecutive windows of `WINDOW` words.
+
 Defined results: null text counts as empty; a text without words is judged by the same votes (its
 score is low); equal texts get equal scores; repeated rows are separate rows; an empty table gives an
 empty result; further columns are ignored.
@@ -28,9 +31,22 @@ from pyspark.sql import functions as F
 from .neardup import Shingler, mix
 
 FEATURES, SAMPLE, EPOCHS, KEEP = 1 << 16, 6000, 6, 0.3
+WINDOW = 400
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 
+def variety(h: np.ndarray, distinct: int) -> float:
+    """Distinct share of the words; over `WINDOW` words the mean share of all consecutive windows of so many, the last one flush with the end."""
+    n = len(h)
+    if n <= WINDOW:
+        return distinct / max(1, n)
+    windows = h[: n - n % WINDOW].reshape(-1, WINDOW)
+    if n % WINDOW:
+        windows = np.vstack([windows, h[-WINDOW:]])
+    ordered = np.sort(windows, axis=1)
+    return float((1 + (ordered[:, 1:] != ordered[:, :-1]).sum(1)).mean() / WINDOW)
+
+
 def measures(text: str, shingler: Shingler) -> tuple[np.ndarray, np.ndarray]:
     """Measured values of a text (see LABELLERS for their order) and its word hashes."""
     h, with_letter, b = shingler.scan(text)
@@ -44,10 +60,6 @@ def measures(text: str, shingler: Shingler) -> tuple[np.ndarray, np.ndarray]:
     ordered = np.sort(h)
     runs = np.diff(np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])) if n else np.array([0])
     change = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]) if n else np.array([0, 0])
-    distinct = len(runs)
-    if n >= 400:
-        first = np.sort(h[:400])
-        distinct = 1 + int((first[1:] != first[:-1]).sum())
     lines = [x for x in text.split("\n") if x.strip()]
     repeated = sum(c for c in Counter(lines).values() if c > 1)
     return np.array(
@@ -62,7 +74,7 @@ def measures(text: str, shingler: Shingler) -> tuple[np.ndarray, np.ndarray]:
             upper / max(1, upper + lower),
             ends / max(1, n),
             digits / chars,
-            distinct / max(1, min(n, 400)),
+            variety(h, len(runs)),
         ],
         float,
     ), h

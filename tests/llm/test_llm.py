@@ -252,6 +252,17 @@ def test_quality(spark, odd, empty):
     assert quality.scores(empty).count() == 0
 
 
+def test_quality_variety():
+    shingler = neardup.Shingler(1)
+    varied, same = " ".join(f"w{i}x" for i in range(400)), "again " * 4000
+    vote = lambda text: quality.votes(quality.measures(text, shingler)[0])[-1]
+    assert vote(varied) == quality.GOOD and vote(same) == quality.BAD
+    assert vote(varied + " " + same) == quality.BAD  # what follows the first 400 words counts
+    assert vote("again " * 400 + " ".join(f"w{i}x" for i in range(4000))) == quality.GOOD
+    value = lambda text: quality.measures(text, shingler)[0][-1]
+    assert value(varied) == 1 and value(varied + " again" * 10) == pytest.approx((400 + 391) / 800)  # the last window ends with the text
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
