@@ -83,17 +83,18 @@ def eligible(c: Column, kinds: Iterable[str]) -> Column:
     return F.lower(F.trim(c, F.lit(" \t\r\n"))).isin([k.lower() for k in kinds])
 
 
+def label_number(label: Column, digits: int) -> Column:
+    """The leading digits after a label's prefix of `digits` characters; null if there are none."""
+    return F.regexp_extract(F.substring(label, digits + 1, 99), r"^([0-9]+)", 1).try_cast("bigint")
+
+
 def in_bracket(prefix: Column, number: Column, start: Column, end: Column, digits: int) -> Column:
     """Whether a number lies in the range of two numbered labels with the same prefix; an absent end is open.
 
     Only the first character after the prefix has to be a digit, and leading digits are the number.
     """
-
-    def value(label: Column) -> Column:
-        return F.regexp_extract(F.substring(label, digits + 1, 99), r"^([0-9]+)", 1).try_cast("bigint")
-
     ok = (F.substring(start, 1, digits) == prefix) & F.substring(start, digits + 1, 1).rlike("^[0-9]")
-    return ok & (number >= value(start)) & (end.isNull() | ((F.substring(end, 1, digits) == prefix) & (number <= value(end))))
+    return ok & (number >= label_number(start, digits)) & (end.isNull() | ((F.substring(end, 1, digits) == prefix) & (number <= label_number(end, digits))))
 
 
 class DateSet:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import in_bracket, label_number
+
 
 def by_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows whose key is listed."""
@@ -99,3 +101,19 @@ def due(control: DataFrame, last: str, now: Column, seconds: int, force: bool =
 def list_members(rows: DataFrame, key: str, column: str, separator: str = ",") -> DataFrame:
     """key, member: a delimited list as rows, trimmed and in lower case, to be joined by equality."""
     return rows.select(key, F.explode(F.array_distinct(F.transform(F.split(column, separator), lambda x: F.lower(F.trim(x))))).alias("member")).where("member <> ''")
+
+
+def bracket_join(rows: DataFrame, brackets: DataFrame, prefix: str, number: str, start: str, end: str, digits: int, width: int = 600) -> DataFrame:
+    """Each row with every bracket of labels that its (prefix, number) lies in; an absent end is open.
+
+    Closed brackets meet the rows by equality on (prefix, bucket), once in each bucket of `width` numbers they
+    reach into. Open ones have no last bucket: they are few, are sent to all tasks and compared by their start.
+    """
+    low, high = label_number(F.col(start), digits), label_number(F.col(end), digits)
+    same = F.col(prefix) == F.substring(start, 1, digits)
+    inside = in_bracket(F.col(prefix), F.col(number), F.col(start), F.col(end), digits)
+    buckets = F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+    closed = brackets.where(low <= high).withColumn("_reach", buckets)
+    met = rows.withColumn("_bucket", F.floor(F.col(number) / width)).join(closed, same & (F.col("_bucket") == F.col("_reach")))
+    onward = rows.join(F.broadcast(brackets.where(F.col(end).isNull())), same & (F.col(number) >= low))
+    return met.where(inside).drop("_bucket", "_reach").unionByName(onward.where(inside))

@@ -105,11 +105,7 @@ def range_bracket_join(spark, sf_dir):
         F.when(F.col("n_nationkey") % 5 != 4, F.format_string("R%d-%07d", F.col("n_nationkey") % 3, F.col("n_nationkey") * 600 + 450)).alias("end_doc"),
     )
     t = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("R"), (F.col("o_custkey") % 3).cast("string"), F.lit("-")).alias("prefix"), F.col("o_orderkey").alias("num"))
-    start = F.substring("start_doc", 4, 99).cast("bigint")
-    # equality on (prefix, bucket) first; the bracket then is a filter on few candidates
-    t, m = t.withColumn("bucket", F.floor(F.col("num") / 600)), m.withColumn("bucket", F.floor(start / 600))
-    j = t.join(m, (F.col("prefix") == F.substring("start_doc", 1, 3)) & (t.bucket == m.bucket))
-    return j.where(fl.in_bracket(F.col("prefix"), F.col("num"), F.col("start_doc"), F.col("end_doc"), 3)).select("o_orderkey", "meeting")
+    return tb.bracket_join(t, m, "prefix", "num", "start_doc", "end_doc", 3).select("o_orderkey", "meeting")
 
 
 @register("delimited_containment_join", """SELECT p_partkey, word AS member FROM (SELECT p_partkey, unnest(list_distinct(list_transform(string_split(p_name, ' '), lambda x: lower(trim(x))))) AS word FROM part)

@@ -122,3 +122,23 @@ def test_stream(spark, tmp_path):
     seen = []
     sessions.maintain(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/c", lambda df, n: seen.append(df.count()))
     assert sum(seen) == events.count()
+
+
+def test_bracket_join(spark):
+    rows = [("R1-", n) for n in (0, 99, 100, 599, 600, 1300, 1301, 5_000_000)] + [("R2-", 700), (None, 700), ("R1-", None)]
+    brackets = [(1, "R1-0000100", "R1-0001300"), (2, "R1-0000600", None), (3, "R1-0000599", "R1-0000599"), (4, "R1-0000900", "R1-0000100"), (5, "R1-x", None), (6, None, None), (7, "R1-0000000", "R2-0009999"), (8, "R2-0000100", "R2-0000700")]
+    t = spark.createDataFrame(rows, "prefix string, num bigint")
+    m = spark.createDataFrame(brackets, "meeting int, start_doc string, end_doc string")
+    got = sorted((r.meeting, r.prefix, r.num) for r in tables.bracket_join(t, m, "prefix", "num", "start_doc", "end_doc", 3).collect())
+    want = {1: (100, 599, 600, 1300), 2: (600, 1300, 1301, 5_000_000), 3: (599,)}
+    assert got == sorted([(k, "R1-", n) for k, v in want.items() for n in v] + [(8, "R2-", 700)])
+
+
+def test_range_bracket_join_is_whole(spark):
+    from corvane.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    nations = [r.n_nationkey for r in spark.read.parquet(f"{sf}/nation.parquet").collect()]
+    orders = [(r.o_orderkey, r.o_custkey % 3) for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").collect()]
+    want = sorted((o, n) for n in nations for o, prefix in orders if prefix == n % 3 and o >= n * 600 and (n % 5 == 4 or o <= n * 600 + 450))
+    assert sorted(map(tuple, registry.queries()["range_bracket_join"](spark, sf).collect())) == want
