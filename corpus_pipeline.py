@@ -35,21 +35,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _columns(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)))
 
 
+def _row_key():
+    """A number for a row's content; only repeats of the whole row share it. (Hashing skips nulls, so that they are hashed as flags.)"""
+    return F.xxhash64(*COLUMNS, *(F.isnull(c) for c in COLUMNS))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the least doc_id."""
+    """Keeps one document of each group: the one with the least doc_id. Different rows of one doc_id are documents of their own; rows without one pass."""
     docs = _columns(docs)
-    kept = neardup.groups(docs).where("is_kept").select("doc_id").distinct()
-    return _columns(docs.join(kept, "doc_id", "left_semi"))
+    nameless, docs = docs.where("doc_id is null"), docs.where("doc_id is not null").withColumn("key", _row_key())
+    if docs.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").isEmpty():
+        kept = docs.join(neardup.groups(docs).where("is_kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    else:
+        found = neardup.groups(docs, id_col="key").select(F.col("doc_id").alias("key"), "class_id")
+        least = docs.select("key", "doc_id").join(found, "key").groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("x"))
+        kept = docs.join(least.select("x.key"), "key", "left_semi")
+    return _columns(kept).unionByName(nameless)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 bytes and more that a document with a smaller doc_id has; documents of which nothing remains go."""
-    docs = _columns(docs)
-    rest = suffix.dedup(docs, keep_text=True).where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
+    """Cuts passages of 50 bytes and more that a document with a smaller doc_id has; documents of which nothing remains go.
+
+    Of repeats of a whole row one stays; rows without a doc_id pass as they are.
+    """
+    docs = _columns(docs).withColumn("key", _row_key())
+    rest = suffix.dedup(docs, keep_text=True, carry=("lang", "source", "key")).where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
     # a cut may fall inside a character; what is left of such a character goes too
     text = F.regexp_replace(F.decode_utf8("kept") if hasattr(F, "decode_utf8") else F.expr("make_valid_utf8(cast(kept as string))"), "�", "")
-    rest = rest.select("doc_id", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(text).alias("text")).dropDuplicates(["doc_id"])
-    return docs.drop("text", "n_chars").dropDuplicates(["doc_id"]).join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+    rest = rest.select("doc_id", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(text).alias("text"), "lang", "source", "key")
+    rest = rest.where("doc_id is not null").dropDuplicates(["key"]).unionByName(rest.where("doc_id is null"))
+    return _columns(rest.withColumn("n_chars", F.length("text").cast("bigint")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

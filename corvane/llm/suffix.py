@@ -249,7 +249,7 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
 
 
-def _stages(length: int, buckets: int, keep_text: bool):
+def _stages(length: int, buckets: int, keep_text: bool, carry: tuple[str, ...]):
     def anchors(left: pa.Table, right: pa.Table) -> pa.Table:
         """Cell -> each anchor's hash once, to its bucket; `many`: it is in more than one document of the cell."""
         rows = []
@@ -423,7 +423,7 @@ def _stages(length: int, buckets: int, keep_text: bool):
             out["kept"].append(left_over if keep_text else None)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()]
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+        return pa.table([*(pa.array(v, t) for v, t in zip(out.values(), types, strict=True)), *(left.column(c) for c in carry)], [*out, *carry])
 
     return anchors, shared, stretches, answers, marked
 
@@ -431,11 +431,14 @@ def _stages(length: int, buckets: int, keep_text: bool):
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
 
-def dedup(documents: DataFrame, length: int = LENGTH, cell_bytes: int = CELL_BYTES, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte runs) of each row, and the remaining bytes as `kept` if asked for."""
+def dedup(documents: DataFrame, length: int = LENGTH, cell_bytes: int = CELL_BYTES, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte runs) of each row, and the remaining bytes as `kept` if asked for.
+
+    Columns named in `carry` stay with their row.
+    """
     if not KMER + 8 <= length <= 1 << 14:
         raise ValueError(f"strings of {KMER + 8} to {1 << 14} bytes are looked for")
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
     small = docs.where(F.octet_length("text") >= length).select(
         "doc_id", F.xxhash64("doc_id", "text").alias("row"), F.unhex(F.md5("text")).alias("content"), F.octet_length("text").cast("bigint").alias("n")
     )
@@ -443,20 +446,21 @@ def dedup(documents: DataFrame, length: int = LENGTH, cell_bytes: int = CELL_BYT
     lead = cut(lead)
     total = lead.agg(F.sum("n")).first()[0] or 0
     cells = parts_for(total, cell_bytes)
-    anchors, shared, stretches, answers, marked = _stages(length, cells, keep_text)
+    kind = dict(docs.dtypes)
+    anchors, shared, stretches, answers, marked = _stages(length, cells, keep_text, carry)
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(cells)).alias("cell")
     copies = small.join(lead.select("content", "lead"), "content").where("doc_id > lead").groupBy(cell).agg(F.collect_set("row").alias("copies"))
     copies = cut(copies)
-    known = docs.where("doc_id is not null").select(cell, "doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").groupBy("cell")
+    known = docs.where("doc_id is not null").select(cell, "doc_id", F.xxhash64("doc_id", "text").alias("row"), "text", *carry).groupBy("cell")
     nothing = [F.lit(None).cast("binary").alias(f.name) for f in _ANSWER][2:]
     to_bucket = known.cogroup(copies.groupBy("cell")).applyInArrow(anchors, _ddl(_ANCHOR))
     in_two = to_bucket.groupBy("bucket").applyInArrow(shared, _ddl(_SHARED))
     sent = known.cogroup(in_two.unionByName(copies.select("cell", "copies", nothing[0])).groupBy("cell")).applyInArrow(stretches, _ddl(_STRETCH))
     answered = sent.groupBy("bucket").applyInArrow(answers, _ddl(_ANSWER))
-    result = known.cogroup(answered.unionByName(copies.select("cell", "copies", *nothing)).groupBy("cell")).applyInArrow(marked, _RESULT)
+    result = known.cogroup(answered.unionByName(copies.select("cell", "copies", *nothing)).groupBy("cell")).applyInArrow(marked, ", ".join([_RESULT, *(f"{c} {kind[c]}" for c in carry)]))
     nameless = docs.where("doc_id is null").select(
         "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
-        F.sha2("text", 256).alias("kept_sha256"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.encode("text", "utf-8").alias("kept"),
+        F.sha2("text", 256).alias("kept_sha256"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.encode("text", "utf-8").alias("kept"), *carry,
     )
     result = result.unionByName(nameless)
     return result if keep_text else result.drop("kept")

@@ -281,3 +281,21 @@ def test_pipeline(spark, tmp_path):
             raw = {i: (t or "").encode() for i, t in rows}
             assert sum(len((t or "").encode()) for _, t in kept) == pytest.approx(sum(map(len, raw.values())) - sum(e - s for v in want.values() for s, e in v), abs=4 * len(rows))
     assert docs.count() and corpus_pipeline.run(spark, SF).count()
+
+
+def test_pipeline_keeps_rows(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    a, b, c, d = (words(60) for _ in range(4))
+    near = a.replace(a.split()[30], "zz")
+    rows = [(1, a, "en", "x"), (2, b, "en", "x"), (2, c, "de", "y"), (3, near, "fr", "z"), (3, d, "en", None), (3, d, "en", None), (None, words(9), None, "x"), (None, None, "en", "x"), (4, c, "en", "x")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert {tuple(r)[:4] for r in got.collect()} == set(rows) - {rows[3], rows[8]}
+    got = corpus_pipeline.repeated_passages(spark, got, SF).collect()
+    want = sorted(map(repr, [rows[i] if rows[i][1] is not None else (None, "", *rows[i][2:]) for i in (0, 1, 2, 4, 6, 7)]))
+    assert sorted(repr(tuple(r)[:4]) for r in got) == want and all(r.n_chars == len(r.text) for r in got)
+    once = docs.where("doc_id = 1 or doc_id is null")  # no repeated id
+    assert corpus_pipeline.near_duplicates(spark, once, SF).count() == 3
