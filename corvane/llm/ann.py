@@ -105,8 +105,10 @@ def search_block(
         if ids:
             found, s = np.concatenate(ids), np.concatenate(scores)
             if len(found) > k:
-                kth = np.partition(s, len(s) - k)[len(s) - k]
-                found, s = found[s >= kth], s[s >= kth]
+                # products of equal vectors can differ in their last bits: who is that near to the k-th is told apart by exact scores
+                slack = 4 * base.shape[1] * np.finfo(float).eps * top_norm * np.sqrt(queries[q] @ queries[q])
+                found = found[s >= np.partition(s, len(s) - k)[len(s) - k] - slack]
+            s = exact_scores(base[found], queries[q])
             first = np.lexsort((base_ids[found], -s))[:k]
             out.append((q, found[first], s[first]))
     return out
@@ -161,8 +163,8 @@ def search(
         if left.num_rows and right.num_rows:
             x, y = (t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims) for t in (left, right))
             ids, asks = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-            for q, found, _ in search_block(x, ids, y, asks, top_norm, k, projections, ratio, budget, seed):
-                got.append((np.full(len(found), asks[q]), ids[found], exact_scores(x[found], y[q])))
+            for q, found, s in search_block(x, ids, y, asks, top_norm, k, projections, ratio, budget, seed):
+                got.append((np.full(len(found), asks[q]), ids[found], s))
         parts = [np.concatenate(p) for p in zip(*got, strict=True)] if got else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(parts, ["query_id", "vec_id", "score"])
 

@@ -299,3 +299,14 @@ def test_pipeline_keeps_rows(spark):
     assert sorted(repr(tuple(r)[:4]) for r in got) == want and all(r.n_chars == len(r.text) for r in got)
     once = docs.where("doc_id = 1 or doc_id is null")  # no repeated id
     assert corpus_pipeline.near_duplicates(spark, once, SF).count() == 3
+
+
+def test_ann_ties():
+    rng = np.random.default_rng(0)
+    for n in range(24, 104):  # equal vectors: the smaller vec_id wins, wherever the rows stand
+        v = rng.normal(size=64)
+        ids = rng.permutation(n).astype(np.int64)
+        base = np.tile(v, (n, 1))
+        [(_, found, scores)] = ann.search_block(base, ids, v[None, :], np.array([n]), float(np.sqrt(v @ v)), budget=1.0)
+        assert ids[found].tolist() == list(range(ann.K))
+        assert len(set(scores.tolist())) == 1
