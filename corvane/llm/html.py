@@ -218,9 +218,10 @@ def extract(page: str | None, weights: Weights = PRIOR) -> str:
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights from at most `sample` pages, the first by a hash of page_id among all."""
+    """Weights from at most `sample` pages with a mark, the first by a hash of page_id among all such."""
+    pages = pages.where(F.col("html").cast("string").rlike(r"(?i)<(article|main)[\s/>]"))
     ids = pages.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    rows = pages.select("page_id", "html").where("html is not null").join(F.broadcast(ids), "page_id", "left_semi").limit(sample)
+    rows = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi").limit(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

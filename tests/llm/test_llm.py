@@ -310,3 +310,10 @@ def test_ann_ties():
         [(_, found, scores)] = ann.search_block(base, ids, v[None, :], np.array([n]), float(np.sqrt(v @ v)), budget=1.0)
         assert ids[found].tolist() == list(range(ann.K))
         assert len(set(scores.tolist())) == 1
+
+
+def test_html_learns_from_labelled_pages(spark):
+    page = "<nav><a>x</a></nav><article><p>one two three</p></article><footer>f</footer>"
+    rows = [(i, page if i == 77 else page.replace("article", "div")) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string")
+    assert html.learn(pages, sample=3) == html.weights_of(html.counts(page)) != html.PRIOR
