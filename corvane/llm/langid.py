@@ -42,7 +42,7 @@ _LETTER = None
 
 
 def _letters() -> np.ndarray:
-    """For code points below 65536: the point itself if it is a letter, else a space. Others count as letters."""
+    """For code points below 65536: the point itself if it is a letter, else a space."""
     global _LETTER
     if _LETTER is None:
         _LETTER = np.array([c if chr(c).isalpha() else 32 for c in range(1 << 16)], np.uint32)
@@ -54,6 +54,9 @@ def term_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     low = points < (1 << 16)
     points = np.where(low, _letters()[np.where(low, points, 32)], points)
+    if not low.all():
+        high, at = np.unique(points[~low], return_inverse=True)
+        points[~low] = np.array([c if chr(c).isalpha() else 32 for c in high.tolist()], np.uint32)[at]
     if not (points != 32).any():
         return np.empty(0, np.int64), np.empty(0)
     keep = np.r_[True, (points[1:] != 32) | (points[:-1] != 32)]

@@ -317,3 +317,11 @@ def test_html_learns_from_labelled_pages(spark):
     rows = [(i, page if i == 77 else page.replace("article", "div")) for i in range(100)]
     pages = spark.createDataFrame(rows, "page_id bigint, html string")
     assert html.learn(pages, sample=3) == html.weights_of(html.counts(page)) != html.PRIOR
+
+
+def test_langid_symbols_beyond_the_first_plane(spark):
+    smile, gothic = "\U0001f600", "\U00010330"
+    assert not len(langid.term_counts(smile * 3 + " !")[0]) and len(langid.term_counts(gothic)[0])
+    assert [x.tolist() for x in langid.term_counts(f"one{smile}two")] == [x.tolist() for x in langid.term_counts("one two")]
+    docs = spark.createDataFrame([(i, "some english words here", "en") for i in range(1, 30)] + [(0, smile, None)], "doc_id bigint, text string, lang string")
+    assert [(r.lang_pred, r.score) for r in langid.identify(docs).where("doc_id = 0").collect()] == [("und", 0.0)]
