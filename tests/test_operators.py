@@ -142,3 +142,12 @@ def test_range_bracket_join_is_whole(spark):
     orders = [(r.o_orderkey, r.o_custkey % 3) for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").collect()]
     want = sorted((o, n) for n in nations for o, prefix in orders if prefix == n % 3 and o >= n * 600 and (n % 5 == 4 or o <= n * 600 + 450))
     assert sorted(map(tuple, registry.queries()["range_bracket_join"](spark, sf).collect())) == want
+
+
+def test_delimited_containment_join_is_whole(spark, tmp_path):
+    from corvane.plans import registry
+
+    parts = [(i, "red small") for i in range(1, 50)] + [(50, "blue red"), (51, "small blue")]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, registry.queries()["delimited_containment_join"](spark, str(tmp_path)).collect()))
+    assert got == sorted({(k, w) for k, name in parts for w in name.split()})
