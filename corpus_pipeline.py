@@ -61,8 +61,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     docs = _columns(docs).withColumn("key", _row_key())
     rest = suffix.dedup(docs, keep_text=True, carry=("lang", "source", "key")).where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
     # a cut may fall inside a character; what is left of such a character goes too
-    text = F.regexp_replace(F.decode_utf8("kept") if hasattr(F, "decode_utf8") else F.expr("make_valid_utf8(cast(kept as string))"), "�", "")
-    rest = rest.select("doc_id", F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(text).alias("text"), "lang", "source", "key")
+    rest = rest.select("doc_id", F.coalesce("cut_text", F.col("kept").cast("string")).alias("text"), "lang", "source", "key")
     rest = rest.where("doc_id is not null").dropDuplicates(["key"]).unionByName(rest.where("doc_id is null"))
     return _columns(rest.withColumn("n_chars", F.length("text").cast("bigint")))
 

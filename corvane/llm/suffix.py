@@ -234,6 +234,26 @@ def _copies(right: pa.Table) -> set[int]:
     return {x for ids in right.column("copies").to_pylist() if ids for x in ids}
 
 
+def whole_characters(parts: list[bytes]) -> bytes:
+    """What lies between cuts, joined, without the halves of characters that were cut through; all else stays as it is."""
+    out = []
+    for i, x in enumerate(parts):
+        if i:  # begins at a cut
+            a = 0
+            while a < len(x) and a < 3 and x[a] & 0xC0 == 0x80:
+                a += 1
+            x = x[a:]
+        if i < len(parts) - 1:  # ends at one
+            for back in range(1, min(3, len(x)) + 1):
+                lead = x[-back]
+                if lead & 0xC0 != 0x80:
+                    if lead >= 0xC0 and back < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4):
+                        x = x[:-back]
+                    break
+        out.append(x)
+    return b"".join(out)
+
+
 def _joined(right: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate([np.empty(0, kind), *(np.frombuffer(x, kind) for x in right.column(name).to_pylist() if x is not None)])
 
@@ -395,7 +415,7 @@ def _stages(length: int, buckets: int, keep_text: bool, carry: tuple[str, ...]):
                     for k in range(*span):
                         if doc[k] < own:
                             hits[d].append((begin + int(first[k]), begin + int(end[k]) - 1 + length))
-        out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
+        out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "cut_text")}
         place = {r: i for i, r in enumerate(keep)}
         raw = left.column("text").cast(pa.large_binary()).to_pylist()
         all_ids = left.column("doc_id").to_pylist()
@@ -413,7 +433,8 @@ def _stages(length: int, buckets: int, keep_text: bool, carry: tuple[str, ...]):
             for s, e in spans:
                 parts.append(x[last:s])
                 last = e
-            left_over = b"".join([*parts, x[last:]])
+            parts.append(x[last:])
+            left_over = b"".join(parts)
             out["doc_id"].append(all_ids[r])
             out["n_bytes"].append(len(x))
             out["n_removed"].append(len(x) - len(left_over))
@@ -421,19 +442,21 @@ def _stages(length: int, buckets: int, keep_text: bool, carry: tuple[str, ...]):
             out["kept_sha256"].append(hashlib.sha256(left_over).hexdigest())
             out["spans"].append([{"start": s, "end": e} for s, e in spans])
             out["kept"].append(left_over if keep_text else None)
+            out["cut_text"].append(whole_characters(parts).decode("utf-8", "replace") if keep_text and spans else None)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary(), pa.string()]
         return pa.table([*(pa.array(v, t) for v, t in zip(out.values(), types, strict=True)), *(left.column(c) for c in carry)], [*out, *carry])
 
     return anchors, shared, stretches, answers, marked
 
 
-_RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary"
+_RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary, cut_text string"
 
 
 def dedup(documents: DataFrame, length: int = LENGTH, cell_bytes: int = CELL_BYTES, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte runs) of each row, and the remaining bytes as `kept` if asked for.
 
+    With the bytes comes, for rows with spans, `cut_text`: the same as text, without the halves of characters at the edges of the spans.
     Columns named in `carry` stay with their row.
     """
     if not KMER + 8 <= length <= 1 << 14:
@@ -460,10 +483,10 @@ def dedup(documents: DataFrame, length: int = LENGTH, cell_bytes: int = CELL_BYT
     result = known.cogroup(answered.unionByName(copies.select("cell", "copies", *nothing)).groupBy("cell")).applyInArrow(marked, ", ".join([_RESULT, *(f"{c} {kind[c]}" for c in carry)]))
     nameless = docs.where("doc_id is null").select(
         "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"),
-        F.sha2("text", 256).alias("kept_sha256"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.encode("text", "utf-8").alias("kept"), *carry,
+        F.sha2("text", 256).alias("kept_sha256"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.encode("text", "utf-8").alias("kept"), F.lit(None).cast("string").alias("cut_text"), *carry,
     )
     result = result.unionByName(nameless)
-    return result if keep_text else result.drop("kept")
+    return result if keep_text else result.drop("kept", "cut_text")
 
 
 def brute_force(rows: list[tuple[int, str | None]], length: int = LENGTH) -> dict[int, list[tuple[int, int]]]:

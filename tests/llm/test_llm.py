@@ -312,6 +312,14 @@ def test_ann_ties():
         assert len(set(scores.tolist())) == 1
 
 
+def test_langid_symbols_beyond_the_first_plane(spark):
+    smile, gothic = "\U0001f600", "\U00010330"
+    assert not len(langid.term_counts(smile * 3 + " !")[0]) and len(langid.term_counts(gothic)[0])
+    assert [x.tolist() for x in langid.term_counts(f"one{smile}two")] == [x.tolist() for x in langid.term_counts("one two")]
+    docs = spark.createDataFrame([(i, "some english words here", "en") for i in range(1, 30)] + [(0, smile, None)], "doc_id bigint, text string, lang string")
+    assert [(r.lang_pred, r.score) for r in langid.identify(docs).where("doc_id = 0").collect()] == [("und", 0.0)]
+
+
 def test_html_learns_from_labelled_pages(spark):
     page = "<nav><a>x</a></nav><article><p>one two three</p></article><footer>f</footer>"
     rows = [(i, page if i == 77 else page.replace("article", "div")) for i in range(100)]
@@ -319,9 +327,12 @@ def test_html_learns_from_labelled_pages(spark):
     assert html.learn(pages, sample=3) == html.weights_of(html.counts(page)) != html.PRIOR
 
 
-def test_langid_symbols_beyond_the_first_plane(spark):
-    smile, gothic = "\U0001f600", "\U00010330"
-    assert not len(langid.term_counts(smile * 3 + " !")[0]) and len(langid.term_counts(gothic)[0])
-    assert [x.tolist() for x in langid.term_counts(f"one{smile}two")] == [x.tolist() for x in langid.term_counts("one two")]
-    docs = spark.createDataFrame([(i, "some english words here", "en") for i in range(1, 30)] + [(0, smile, None)], "doc_id bigint, text string, lang string")
-    assert [(r.lang_pred, r.score) for r in langid.identify(docs).where("doc_id = 0").collect()] == [("und", 0.0)]
+def test_pipeline_keeps_replacement_characters(spark):
+    import corpus_pipeline
+
+    assert suffix.whole_characters(["a\ufffdé".encode()[:-1], "é€".encode()[1:-1], "😀b".encode()[2:], b"\xa9"]).decode() == "a\ufffdb"
+    shared = "é" + "xyz " * 15 + "é"  # the cut goes through ꩩ and è, which share bytes with é
+    docs = [(1, "A" + shared + "B"), (2, "own \ufffd text ꩩ" + shared[1:-1] + "è tail \ufffd")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert got[2] == "own \ufffd text  tail \ufffd"
