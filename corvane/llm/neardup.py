@@ -12,14 +12,19 @@ The query uses weight 1 for every distinct shingle ("set"), whose weighted Jacca
 Jaccard that a similarity of 0.8 is measured with; "count" weighs by occurrences.
 
 Pairs: equal shingle sets are folded first (one representative each). Representatives that share a
-band's hash are linked to the bucket's first member and the link is verified on the exact shingle
-sets; members that fail there are held against the members of the bucket that no link has put in
-their group yet, where the triangle inequality of the Jaccard distance doesn't rule the pair out. Groups are the connected
-components of verified links, found by iterated minimum labels.
+band's hash form a bucket. In star rounds every bucket names one lead, all other members are compared
+with it, and linked ones get one label; who isn't linked to its lead stays for the next round, which
+names the least of them lead. Rounds end when one resolves few of those left. What is then still split
+between components is settled pair by pair: members outside a bucket's largest component meet those of
+other components, each pair once (in the first band that it shares), if sizes and a 4-bit-per-hash
+sketch of both signatures don't rule a similarity of `similarity` out (five standard deviations of the
+sketch: a pair at the threshold is lost with a probability under 1e-6, against 2e-4 by the bands).
+Every link rests on the exact shingle sets. Groups are the connected components of links.
 
 How it scales: text is read once for the signatures and once, for documents in some bucket only, for
-the verification; exact copies meet in a map-side combined aggregate; a bucket gives links to one
-member, not all pairs; nothing is collected to the driver but row counts.
+the shingle sets, which are kept in the checkpoint folder; exact copies meet in a map-side combined
+aggregate; star rounds are linear in a bucket's size; a lead's set travels once for each `SALT` members,
+not once for each pair; nothing is collected to the driver but row counts.
 
 Defined results: null text counts as empty; texts without words all have the empty shingle set and
 are one group; fewer than five words are one shingle; rows with equal doc_id are treated as one
@@ -39,6 +44,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 32, 6, 7
+#: Members that share one copy of a lead's shingles; bits of each hash in a sketch; star rounds go on while one resolves this share of the members left.
+SALT, SKETCH_BITS, WORTH_A_ROUND = 64, 4, 0.2
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -220,6 +227,22 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """The lowest `SKETCH_BITS` bits of each hash, packed in 64-bit words: rows differ in half of the bits of each hash that differs."""
+    per = 64 // SKETCH_BITS
+    low = np.zeros((len(sig), -(-sig.shape[1] // per) * per), np.uint64)
+    low[:, : sig.shape[1]] = mix(sig) & np.uint64((1 << SKETCH_BITS) - 1)
+    shifts = np.arange(per, dtype=np.uint64) * np.uint64(SKETCH_BITS)
+    return np.bitwise_or.reduce(low.reshape(len(sig), -1, per) << shifts, axis=2).view(np.int64)
+
+
+def most_bits_apart(hashes: int, similarity: float) -> int:
+    """So many bits of two sketches differ at most, but for five standard deviations, if the sets are that similar."""
+    differ = hashes * (1 - similarity)
+    spread = (SKETCH_BITS / 2) ** 2 * differ * similarity + SKETCH_BITS / 4 * differ
+    return int(np.ceil(SKETCH_BITS / 2 * differ + 5 * np.sqrt(spread)))
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) and not len(b):
         return 1.0
@@ -233,12 +256,14 @@ def _signer(words: int, bands: int, rows: int, weighting: str, seed: int):
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), []
             sets = [shingler.weighted(text or "") if weighting == "count" else (shingler.set(text or ""), None) for text in batch.column("text").to_pylist()]
-            for (x, w), sig in zip(sets, signatures(sets, bands * rows, seed), strict=True):
+            signed = signatures(sets, bands * rows, seed)
+            for (x, w), sig, sketch in zip(sets, signed, sketches(signed), strict=True):
                 content = xxhash.xxh3_128_digest(x.tobytes() + (b"" if w is None else w.tobytes()))
-                out.append((content, len(x), band_hashes(sig, bands, rows) if len(x) else []))
+                out.append((content, len(x), band_hashes(sig, bands, rows) if len(x) else [], sketch))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))],
-                ["doc_id", "content", "n", "bands"],
+                [pa.array(ids, pa.int64()), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64())]
+                + [pa.array([o[i] for o in out], pa.list_(pa.int64())) for i in (2, 3)],
+                ["doc_id", "content", "n", "bands", "sketch"],
             )
 
     return sign
@@ -269,10 +294,19 @@ def _similarity(a: bytes, b: bytes, weighting: str) -> float:
 
 
 def _verifier(weighting: str):
+    """Rows of each (a, salt) follow one another: first the lead's shingles (b null), then one row for each b with its own."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None
         for batch in batches:
-            s = [_similarity(a, b, weighting) for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s, pa.float64())], ["a", "b", "s"])
+            out = []
+            for a, b, x in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles"), strict=True):
+                if b is None:
+                    lead = (a, x.as_py())
+                elif lead is not None and lead[0] == a:
+                    out.append((a, b, _similarity(lead[1], x.as_py(), weighting)))
+            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["a", "b", "s"])
 
     return verify
 
@@ -302,50 +336,78 @@ def groups(
 ) -> DataFrame:
     """doc_id, class_id (the least doc_id of its group), is_kept (whether it is that one)."""
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    signed = cut(docs.mapInArrow(_signer(words, bands, rows, weighting, seed), "doc_id bigint, content binary, n bigint, bands array<bigint>"))
-    one = signed.groupBy("doc_id").agg(F.max(F.struct("content", "n", "bands")).alias("x")).select("doc_id", "x.*")
-    folded = cut(one.groupBy("content").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    in_band = folded.where("n > 0").select("rep", "n", F.posexplode("bands").alias("band", "h"))
-    bucket = in_band.groupBy("band", "h").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    member = cut(in_band.join(bucket, ["band", "h"]).where("rep <> lead").select("band", "h", "lead", "rep", "n"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, s) with the exact similarity of each pair; only the documents named are read and shingled, once each."""
-        names = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = docs.join(names, "doc_id", "left_semi").mapInArrow(_setter(words, weighting), "doc_id bigint, shingles binary")
-        a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-        b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_verifier(weighting), "a bigint, b bigint, s double")
-
-    star = cut(verified(member.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()))
-    label = components(star.where(F.col("s") >= similarity).select("a", "b")).withColumnRenamed("node", "rep")
-    # what failed against its bucket's first member is held against those of the bucket that aren't in its group by now
-    graded = member.join(star, (F.col("a") == F.col("lead")) & (F.col("b") == F.col("rep"))).select("band", "h", "rep", "n", "s")
-    graded = graded.join(label, "rep", "left").withColumn("own", F.coalesce("label", "rep")).drop("label")
-    failed = graded.where(F.col("s") < similarity).select("band", "h", F.col("rep").alias("f"), F.col("n").alias("fn"), F.col("s").alias("fs"), F.col("own").alias("f_own"))
-    near = (
-        (failed["band"] == graded["band"])
-        & (failed["h"] == graded["h"])
-        & (F.col("f_own") != F.col("own"))
-        & ((F.col("s") >= similarity) | (F.col("f") < F.col("rep")))
-        & (F.abs(F.col("s") - F.col("fs")) <= 1 - similarity + 1e-9)
-    )
-    if weighting == "set":
-        near &= (F.col("fn") >= similarity * F.col("n")) & (F.col("n") >= similarity * F.col("fn"))
-    rest = failed.join(graded, near).select(
-        F.least("f", "rep").alias("a"), F.greatest("f", "rep").alias("b"), F.least("f_own", "own").alias("own_a"), F.greatest("f_own", "own").alias("own_b")
-    )
-    rest = cut(rest.distinct().join(star, ["a", "b"], "left_anti"))
-    found = folded.select("content", "rep").join(label, "rep", "left").select("content", F.coalesce("label", "rep").alias("own"))
-    if not rest.isEmpty():
-        more = verified(rest.select("a", "b")).where(F.col("s") >= similarity).join(rest, ["a", "b"]).select(F.col("own_a").alias("a"), F.col("own_b").alias("b"))
-        joined = components(more).select(F.col("node").alias("own"), F.col("label").alias("joined"))
-        found = found.join(joined, "own", "left").select("content", F.coalesce("joined", "own").alias("own"))
-    return (
-        one.select("doc_id", "content")
-        .join(found.withColumnRenamed("own", "class_id"), "content")
-        .select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))
-    )
+    signed = cut(docs.mapInArrow(_signer(words, bands, rows, weighting, seed), "doc_id bigint, content binary, n bigint, bands array<bigint>, sketch array<bigint>"))
+    one = signed.groupBy("doc_id").agg(F.max(F.struct("content", "n", "bands", "sketch")).alias("x")).select("doc_id", "x.*")
+    folded = cut(one.groupBy("content").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch"))))
+    in_band = folded.where("n > 0").select("rep", F.posexplode("bands").alias("band", "h"))
+    shared = in_band.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1").select("band", "h")
+    member = cut(in_band.join(shared, ["band", "h"]).select("band", "h", "rep"))
+    named = member.select(F.col("rep").alias("doc_id")).distinct()
+    sets = cut(docs.join(named, "doc_id", "left_semi").mapInArrow(_setter(words, weighting), "doc_id bigint, shingles binary"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs whose exact similarity is great enough."""
+        salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")) if "salts" in pairs.columns else pairs.select("a", "b", F.lit(0).cast("bigint").alias("salt"))
+        heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", F.lit(None).cast("bigint").alias("b"), "salt", "shingles")
+        others = salted.join(sets, F.col("b") == F.col("doc_id")).select("a", "b", "salt", "shingles")
+        together = heads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        return together.mapInArrow(_verifier(weighting), "a bigint, b bigint, s double").where(F.col("s") >= similarity).select("a", "b")
+
+    def with_salts(pairs: DataFrame) -> DataFrame:
+        """How many tasks the members of each lead are dealt to: in proportion to their number."""
+        return pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts")), "a")
+
+    def joined(label: DataFrame | None, found: DataFrame) -> DataFrame:
+        """Labels (rep, own) of all that have one, once the links `found` (a, b) hold too."""
+        if label is None:
+            return components(found).select(F.col("node").alias("rep"), F.col("label").alias("own"))
+        a, b = (label.select(F.col("rep").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
+        edges = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("own_a", "a").alias("a"), F.coalesce("own_b", "b").alias("b"))
+        moved = components(edges).select(F.col("node").alias("was"), F.col("label").alias("now"))
+        known = label.unionByName(moved.select(F.col("was").alias("rep"), F.col("was").alias("own"))).groupBy("rep").agg(F.min("own").alias("own"))
+        return known.join(moved, F.col("own") == F.col("was"), "left").select("rep", F.coalesce("now", "own").alias("own"))
+
+    label, left, asked = None, member, None
+    n_left = left.count()
+    while n_left:
+        lead = left.groupBy("band", "h").agg(F.min("rep").alias("lead"))
+        rest = left.join(lead, ["band", "h"]).where("rep <> lead")
+        pairs = rest.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        if asked is not None:
+            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        asked = pairs if asked is None else asked.unionByName(pairs)
+        label = cut(joined(label, cut(links(with_salts(pairs)))))
+        own = label.select(F.col("rep").alias("rep_"), "own")
+        of_rep = rest.join(own, F.col("rep") == F.col("rep_"), "left").select("band", "h", "lead", "rep", F.coalesce("own", "rep").alias("own_rep"))
+        left = cut(of_rep.join(own, F.col("lead") == F.col("rep_"), "left").where(F.col("own_rep") != F.coalesce("own", "lead")).select("band", "h", "rep"))
+        was, n_left = n_left, left.count()
+        if n_left > (1 - WORTH_A_ROUND) * was:
+            break
+
+    if n_left:
+        # buckets that are still split: members outside the largest component, against those of other components
+        own = label.select(F.col("rep").alias("rep_"), "own")
+        graded = member.join(left.select("band", "h").distinct(), ["band", "h"], "left_semi")
+        graded = graded.join(own, F.col("rep") == F.col("rep_"), "left").select("band", "h", "rep", F.coalesce("own", "rep").alias("own"))
+        graded = cut(graded.join(folded.select("rep", "n", "bands", "sketch"), "rep"))
+        largest = graded.groupBy("band", "h", "own").agg(F.count("*").alias("size")).groupBy("band", "h").agg(F.max(F.struct("size", "own"))["own"].alias("main"))
+        graded = graded.join(largest, ["band", "h"])
+        minor = graded.where("own <> main").select(*(F.col(c).alias(f"f_{c}") for c in ("band", "h", "rep", "own", "n", "bands", "sketch")))
+        apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("f_sketch", F.lit(i)))) for i in range(-(-bands * rows * SKETCH_BITS // 64))), F.lit(0))
+        # each pair once: no band before this one is shared
+        first = ~F.exists(F.slice(F.arrays_zip(F.col("bands").alias("x"), F.col("f_bands").alias("y")), F.lit(1), F.col("band")), lambda z: z["x"] == z["y"])
+        near = (F.col("f_band") == F.col("band")) & (F.col("f_h") == F.col("h")) & (F.col("f_own") != F.col("own"))
+        near &= ((F.col("own") == F.col("main")) | (F.col("f_rep") < F.col("rep"))) & (apart <= most_bits_apart(bands * rows, similarity)) & first
+        if weighting == "set":
+            near &= (F.col("f_n") >= similarity * F.col("n")) & (F.col("n") >= similarity * F.col("f_n"))
+        pairs = minor.join(graded, near).select(F.least("f_rep", "rep").alias("a"), F.greatest("f_rep", "rep").alias("b"))
+        pairs = cut(pairs.distinct().join(asked, ["a", "b"], "left_anti"))
+        label = cut(joined(label, cut(links(with_salts(pairs)))))
+
+    found = folded.select("content", "rep")
+    found = found.join(label, "rep", "left").select("content", F.coalesce("own", "rep").alias("class_id")) if label is not None else found.select("content", F.col("rep").alias("class_id"))
+    return one.select("doc_id", "content").join(found, "content").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int = WORDS, similarity: float = SIMILARITY) -> dict[int, int]:
