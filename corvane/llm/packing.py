@@ -2,7 +2,7 @@
 
 Documents are tokenized once; what is longer than a sequence is cut into whole sequences and a rest.
 The rests' lengths make a histogram (one count per length, so at most `size` numbers), and packing is
-done on it: lengths go longest first, each into the packs with the most room left, which changes
+done on it: lengths go longest first, each document into a pack with the most room left, which changes
 counts of packing patterns and never touches a document. Patterns are then joined back to documents: the r-th piece of a length takes the r-th place that the patterns hold for
 that length.
 
@@ -17,12 +17,17 @@ documents; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,46 +37,125 @@ SIZE, END_ID, CHUNK_PIECES = 4096, 2, 20_000
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+#: How the tokenizer of the query parts a word in pieces, as its file has it, and the same for lower-case ASCII.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_WORD_END = "</w>"
+
+
+def _laid(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """`ids` is runs of the given sizes, end to end; the runs named in `order`, end to end."""
+    n = sizes[order]
+    last = np.cumsum(n)
+    return ids[np.repeat((np.cumsum(sizes) - sizes)[order] - (last - n), n) + np.arange(last[-1] if len(last) else 0)]
+
+
 class WordTokenizer:
-    """Ids of a tokenizer whose tokens never cross a space or line break, looked up chunk by chunk.
+    """Ids of a tokenizer whose tokens never cross a space or line break, for many texts at a time.
 
-    Chunks between spaces are tokenized once and remembered, up to `most` of them.
+    The texts' distinct words (what lies between spaces and line breaks) are tokenized once and laid out
+    again by the numbers of words. Where the tokenizer parts words by `_PATTERN`, printable ASCII words
+    are parted here, and their distinct pieces are tokenized many in one call: the end mark of a piece's
+    last token tells them apart.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, together: int = 200):
         # a task has one core; the tokenizer's own threads would only contend with the other tasks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def ids(self, text: str) -> list[int]:
-        known, out = self.known, []
-        words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > self.most:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = e.ids
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.model, self.together, self.pieces = Tokenizer.from_file(path), together, None
+        form = json.loads(self.model.to_str())
+        steps = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+        parted = [x.get("pattern", {}).get("Regex") for x in steps if x["type"] == "Split"] == [_PATTERN]
+        lowered = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in form["added_tokens"]) or r"(?!)")
+        if parted and lowered and form["model"].get("end_of_word_suffix") == _WORD_END:
+            self.pieces = Tokenizer.from_str(self.model.to_str())
+            self.pieces.normalizer, self.pieces.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+            vocabulary = self.pieces.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        for x in (self.model, self.pieces):
+            # words come once: remembering them costs more than it saves
+            if x is not None and hasattr(x.model, "_resize_cache"):
+                x.model._resize_cache(0)
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, sizes.sum()), sizes
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all words, end to end, and how many each word has."""
+        if self.pieces is None:
+            return self._each(words)
+        units: dict[str, int] = {}  # pieces of plain words
+        others: list[str] = []  # other words, numbered from -1 down
+        parts: list[int] = []
+        counts = []
+        plain = re.compile(r"[\x21-\x7e]*").fullmatch
         for w in words:
-            out += known[w]
-        return out
-
-
-def _tokenizer(path: str, size: int, end_id: int):
+            if plain(w) and not ("<" in w and self.special.search(w)):
+                own = [units.setdefault(x, len(units)) for x in _ASCII_PATTERN.findall(w.lower())]
+                parts += own
+                counts.append(len(own))
+            else:
+                others.append(w)
+                parts.append(-len(others))
+                counts.append(1)
+        names = list(units)
+        lines = self.pieces.encode_batch_fast([" ".join(names[a : a + self.together]) for a in range(0, len(names), self.together)], add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in lines)])
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(names):
+            return self._each(words)
+        sizes = np.diff(np.r_[-1, ends])
+        more, more_sizes = self._each(others)
+        order = np.array(parts, np.int64)
+        order = np.where(order < 0, len(names) - 1 - order, order)
+        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
+        bounds = np.r_[0, np.cumsum(np.array(counts, np.int64))]
+        total = np.r_[0, np.cumsum(sizes[order])]
+        return _laid(ids, sizes, order), np.diff(total[bounds])
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts (strings without nulls), end to end, each followed by `end_id`, and where each text's ids end."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        ids, sizes = self.words(coded.dictionary.to_pylist())
+        # the end is one more word, after each text's own
+        ids, sizes = np.append(ids, np.uint32(end_id)), np.append(sizes, 1)
+        bounds = parts.offsets.to_numpy().astype(np.int64)[1:] - parts.offsets[0].as_py()
+        order = np.insert(coded.indices.to_numpy(), bounds, len(sizes) - 1)
+        return _laid(ids, sizes, order), np.cumsum(sizes[order])[bounds + np.arange(len(texts))]
+
+
+def _slices(texts: pa.Array, most: int) -> Iterator[slice]:
+    """Runs of texts of about `most` bytes."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, end)
+        at = end
+
+
+def _tokenizer(path: str, size: int, end_id: int, most: int = 32 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*tokenizer.ids(text or ""), end_id], "<u4")
-                for start in range(0, len(ids), size):
-                    piece = ids[start : start + size]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            all_ids, all_texts = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")
+            for part in _slices(all_texts, most):
+                rows, start = [], 0
+                ids, ends = tokenizer.ids(all_texts[part.start : part.stop], end_id)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                for doc_id, end in zip(all_ids[part], ends.tolist(), strict=True):
+                    for at in range(start, end, size):
+                        z = min(at + size, end)
+                        rows.append((doc_id, at - start, z - at, zlib.crc32(raw[4 * at : 4 * z]), end - start))
+                    start = end
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -85,38 +169,42 @@ def pieces(documents: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
     """Packs as (times, lengths, longest first) that hold every length of the histogram as often as it is counted.
 
-    Longest first; each length goes to the packs with the most room (the shortest packs), as many at a
-    time as there are, new packs when none has room. Packs with equal contents are one pattern with a
-    count, so the work follows the number of lengths, not of documents.
+    Longest first; every document goes to a pack with the most room (a shortest pack), to a new one when
+    it doesn't fit there. Packs with equal contents are one pattern with a count. All documents of one
+    length are placed in rounds: the patterns with the most room take one document each, which moves them
+    to a lesser room, where they join those already there; so the work follows lengths and rooms, not
+    documents.
     """
     by_room: dict[int, list[list]] = {}  # room -> [times, lengths]
+    heap: list[int] = []  # negative rooms that may hold patterns
 
     def put(room: int, times: int, lengths: tuple[int, ...]) -> None:
-        by_room.setdefault(room, []).append([times, lengths])
+        if room not in by_room:
+            by_room[room] = []
+            heapq.heappush(heap, -room)
+        by_room[room].append([times, lengths])
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        rooms = sorted((r for r in by_room if r >= length), reverse=True)
-        for room in rooms:
-            while left and by_room.get(room):
-                times, lengths = by_room[room].pop()
-                # as many copies as fit go to each pack when there are more documents than packs
-                each = max(1, min(room // length, left // times))
-                use = min(times, left // each) if left >= each else 0
-                if not use:
-                    each, use = 1, min(times, left)
-                if times > use:
-                    put(room, times - use, lengths)
-                put(room - each * length, use, lengths + (length,) * each)
-                left -= use * each
-            if not left:
+        while left:
+            while heap and not by_room.get(-heap[0]):
+                by_room.pop(-heapq.heappop(heap), None)
+            if not heap or -heap[0] < length:
+                # nothing fits: a new pack, which is the shortest one until no document of this length fits there any more
+                each = size // length
+                whole, more = divmod(left, each)
+                if whole:
+                    put(size - each * length, whole, (length,) * each)
+                if more:
+                    put(size - more * length, 1, (length,) * more)
                 break
-        if left:
-            each = size // length
-            if left // each:
-                put(size - each * length, left // each, (length,) * each)
-            if left % each:
-                put(size - left % each * length, 1, (length,) * (left % each))
+            room = -heap[0]
+            times, lengths = by_room[room].pop()
+            use = min(times, left)
+            if times > use:
+                by_room[room].append([times - use, lengths])
+            put(room - length, use, (*lengths, length))
+            left -= use
     return [(times, lengths) for room in sorted(by_room) for times, lengths in by_room[room]]
 
 
