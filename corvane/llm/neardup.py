@@ -44,8 +44,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 32, 6, 7
-#: Members that share one copy of a lead's shingles; bits of each hash in a sketch; star rounds go on while one resolves this share of the members left.
-SALT, SKETCH_BITS, WORTH_A_ROUND = 64, 4, 0.2
+#: Members that share one copy of a lead's shingles; bits of each hash in a sketch.
+SALT, SKETCH_BITS = 64, 4
+#: Star rounds go on while more than a share of all members are left and one resolves a share of these. The result doesn't depend on it, only the work.
+FEW_LEFT, WORTH_A_ROUND = 0.1, 0.2
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -368,7 +370,7 @@ def groups(
         return known.join(moved, F.col("own") == F.col("was"), "left").select("rep", F.coalesce("now", "own").alias("own"))
 
     label, left, asked = None, member, None
-    n_left = left.count()
+    n_members = n_left = left.count()
     while n_left:
         lead = left.groupBy("band", "h").agg(F.min("rep").alias("lead"))
         rest = left.join(lead, ["band", "h"]).where("rep <> lead")
@@ -382,7 +384,7 @@ def groups(
         of_rep = rest.join(own, F.col("rep") == F.col("rep_"), "left").select("band", "h", "lead", "rep", F.coalesce("own", "rep").alias("own_rep"))
         left = cut(of_rep.join(own, F.col("lead") == F.col("rep_"), "left").where(F.col("own_rep") != F.coalesce("own", "lead")).select("band", "h", "rep"))
         was, n_left = n_left, left.count()
-        if n_left > (1 - WORTH_A_ROUND) * was:
+        if n_left <= FEW_LEFT * n_members or n_left > (1 - WORTH_A_ROUND) * was:
             break
 
     if n_left:
