@@ -12,19 +12,19 @@ The query uses weight 1 for every distinct shingle ("set"), whose weighted Jacca
 Jaccard that a similarity of 0.8 is measured with; "count" weighs by occurrences.
 
 Pairs: equal shingle sets are folded first (one representative each). Representatives that share a
-band's hash form a bucket. In star rounds every bucket names one lead, all other members are compared
-with it, and linked ones get one label; who isn't linked to its lead stays for the next round, which
-names the least of them lead. Rounds end when one resolves few of those left. What is then still split
-between components is settled pair by pair: members outside a bucket's largest component meet those of
-other components, each pair once (in the first band that it shares), if sizes and a 4-bit-per-hash
-sketch of both signatures don't rule a similarity of `similarity` out (five standard deviations of the
-sketch: a pair at the threshold is lost with a probability under 1e-6, against 2e-4 by the bands).
-Every link rests on the exact shingle sets. Groups are the connected components of links.
+band's hash form a bucket. All members of a bucket are compared with its first one, and linked ones get
+one label. In buckets that are then still split between components, members outside the largest one
+are compared with those of all other components, block by block: a task holds two blocks of bounded
+size, gets all overlaps of their shingle sets by one matrix product and returns at most one link for a
+member and component, so pairs are never rows. Every link rests on the exact shingle sets. Groups are
+the connected components of links.
 
 How it scales: text is read once for the signatures and once, for documents in some bucket only, for
 the shingle sets, which are kept in the checkpoint folder; exact copies meet in a map-side combined
-aggregate; star rounds are linear in a bucket's size; a lead's set travels once for each `SALT` members,
-not once for each pair; nothing is collected to the driver but row counts.
+aggregate; the first comparison is linear in a bucket's size and a lead's set travels once for each
+`SALT` members, not once for each pair; of a hot bucket only the members that its largest component
+doesn't hold meet the others, in as many tasks as there are pairs of blocks; nothing is collected to
+the driver but row counts.
 
 Defined results: null text counts as empty; texts without words all have the empty shingle set and
 are one group; fewer than five words are one shingle; rows with equal doc_id are treated as one
@@ -44,10 +44,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 32, 6, 7
-#: Members that share one copy of a lead's shingles; bits of each hash in a sketch.
-SALT, SKETCH_BITS = 64, 4
-#: Star rounds go on while more than a share of all members are left and one resolves a share of these. The result doesn't depend on it, only the work.
-FEW_LEFT, WORTH_A_ROUND = 0.1, 0.2
+#: Members that share one copy of a lead's shingles; members and shingles of one block.
+SALT, BLOCK_MEMBERS, BLOCK_SHINGLES = 64, 1024, 1 << 19
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -229,22 +227,6 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketches(sig: np.ndarray) -> np.ndarray:
-    """The lowest `SKETCH_BITS` bits of each hash, packed in 64-bit words: rows differ in half of the bits of each hash that differs."""
-    per = 64 // SKETCH_BITS
-    low = np.zeros((len(sig), -(-sig.shape[1] // per) * per), np.uint64)
-    low[:, : sig.shape[1]] = mix(sig) & np.uint64((1 << SKETCH_BITS) - 1)
-    shifts = np.arange(per, dtype=np.uint64) * np.uint64(SKETCH_BITS)
-    return np.bitwise_or.reduce(low.reshape(len(sig), -1, per) << shifts, axis=2).view(np.int64)
-
-
-def most_bits_apart(hashes: int, similarity: float) -> int:
-    """So many bits of two sketches differ at most, but for five standard deviations, if the sets are that similar."""
-    differ = hashes * (1 - similarity)
-    spread = (SKETCH_BITS / 2) ** 2 * differ * similarity + SKETCH_BITS / 4 * differ
-    return int(np.ceil(SKETCH_BITS / 2 * differ + 5 * np.sqrt(spread)))
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     if not len(a) and not len(b):
         return 1.0
@@ -259,13 +241,12 @@ def _signer(words: int, bands: int, rows: int, weighting: str, seed: int):
             ids, out = batch.column("doc_id").to_pylist(), []
             sets = [shingler.weighted(text or "") if weighting == "count" else (shingler.set(text or ""), None) for text in batch.column("text").to_pylist()]
             signed = signatures(sets, bands * rows, seed)
-            for (x, w), sig, sketch in zip(sets, signed, sketches(signed), strict=True):
+            for (x, w), sig in zip(sets, signed, strict=True):
                 content = xxhash.xxh3_128_digest(x.tobytes() + (b"" if w is None else w.tobytes()))
-                out.append((content, len(x), band_hashes(sig, bands, rows) if len(x) else [], sketch))
+                out.append((content, len(x), band_hashes(sig, bands, rows) if len(x) else []))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64())]
-                + [pa.array([o[i] for o in out], pa.list_(pa.int64())) for i in (2, 3)],
-                ["doc_id", "content", "n", "bands", "sketch"],
+                [pa.array(ids, pa.int64()), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))],
+                ["doc_id", "content", "n", "bands"],
             )
 
     return sign
@@ -313,6 +294,68 @@ def _verifier(weighting: str):
     return verify
 
 
+def _crossing(left: list[bytes], right: list[bytes], left_own: np.ndarray, right_own: np.ndarray, similarity: float, weighting: str) -> Iterator[tuple[int, int]]:
+    """Pairs (of a left and a right number) that are similar enough and of different components, one for each left member and component on the right."""
+    if weighting != "set":
+        for i, x in enumerate(left):
+            met = {int(left_own[i])}
+            for j, y in enumerate(right):
+                if int(right_own[j]) not in met and _similarity(x, y, weighting) >= similarity:
+                    met.add(int(right_own[j]))
+                    yield i, j
+        return
+    a, b = ([np.frombuffer(x, np.uint64) for x in side] for side in (left, right))
+    na, nb = (np.array([len(x) for x in side]) for side in (a, b))
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    both = np.zeros((len(a), len(b)), np.float32)  # counts below 2^24 are exact
+    for start in range(0, len(shared), 4096):
+        columns = shared[start : start + 4096]
+        sides = []
+        for side in (a, b):
+            m = np.zeros((len(side), len(columns)), np.float32)
+            for k, x in enumerate(side):
+                some = x[np.searchsorted(x, columns[0]) : np.searchsorted(x, columns[-1], side="right")]
+                at = np.searchsorted(columns, some)
+                m[k, at[columns[at] == some]] = 1
+            sides.append(m)
+        both += sides[0] @ sides[1].T
+    near = both >= similarity * (na[:, None] + nb[None, :] - both) - 1e-3
+    near &= left_own[:, None] != right_own[None, :]
+    for i in np.flatnonzero(near.any(1)).tolist():
+        js = np.flatnonzero(near[i])
+        js = js[[both[i, j] / (na[i] + nb[j] - both[i, j]) >= similarity for j in js.tolist()]]
+        for j in js[np.unique(right_own[js], return_index=True)[1]].tolist():
+            yield i, j
+
+
+def _blocks(similarity: float, weighting: str):
+    """Rows of each (band, h, i, j) follow one another; links between those of the minor side and the others."""
+    key_of = ("band", "h", "i", "j")
+
+    def links(rows: list[tuple[bool, int, int, bytes]]) -> Iterator[tuple[int, int]]:
+        left, right = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        if left and right:
+            own = [np.array([r[2] for r in side], np.int64) for side in (left, right)]
+            for i, j in _crossing([r[3] for r in left], [r[3] for r in right], *own, similarity, weighting):
+                yield left[i][1], right[j][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            keys = zip(*(batch.column(c).to_pylist() for c in key_of), strict=True)
+            for key, minor, rep, own, x in zip(keys, *(batch.column(c).to_pylist() for c in ("minor", "rep", "own")), batch.column("shingles"), strict=True):
+                if key != now:
+                    out += links(rows)
+                    now, rows = key, []
+                rows.append((minor, rep, own, x.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+        out = list(links(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, label): the least node of each connected component of `edges` (a, b); nodes without edges are left out.
 
@@ -338,77 +381,51 @@ def groups(
 ) -> DataFrame:
     """doc_id, class_id (the least doc_id of its group), is_kept (whether it is that one)."""
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    signed = cut(docs.mapInArrow(_signer(words, bands, rows, weighting, seed), "doc_id bigint, content binary, n bigint, bands array<bigint>, sketch array<bigint>"))
-    one = signed.groupBy("doc_id").agg(F.max(F.struct("content", "n", "bands", "sketch")).alias("x")).select("doc_id", "x.*")
-    folded = cut(one.groupBy("content").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch"))))
-    in_band = folded.where("n > 0").select("rep", F.posexplode("bands").alias("band", "h"))
-    shared = in_band.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1").select("band", "h")
-    member = cut(in_band.join(shared, ["band", "h"]).select("band", "h", "rep"))
+    signed = cut(docs.mapInArrow(_signer(words, bands, rows, weighting, seed), "doc_id bigint, content binary, n bigint, bands array<bigint>"))
+    one = signed.groupBy("doc_id").agg(F.max(F.struct("content", "n", "bands")).alias("x")).select("doc_id", "x.*")
+    folded = cut(one.groupBy("content").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands"))))
+    in_band = folded.where("n > 0").select("rep", "n", F.posexplode("bands").alias("band", "h"))
+    bucket = in_band.groupBy("band", "h").agg(F.count("*").alias("size"), F.min("rep").alias("lead")).where("size > 1").select("band", "h", "lead")
+    member = cut(in_band.join(bucket, ["band", "h"]).select("band", "h", "lead", "rep", "n"))
     named = member.select(F.col("rep").alias("doc_id")).distinct()
     sets = cut(docs.join(named, "doc_id", "left_semi").mapInArrow(_setter(words, weighting), "doc_id bigint, shingles binary"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs whose exact similarity is great enough."""
-        salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")) if "salts" in pairs.columns else pairs.select("a", "b", F.lit(0).cast("bigint").alias("salt"))
-        heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", F.lit(None).cast("bigint").alias("b"), "salt", "shingles")
-        others = salted.join(sets, F.col("b") == F.col("doc_id")).select("a", "b", "salt", "shingles")
-        together = heads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return together.mapInArrow(_verifier(weighting), "a bigint, b bigint, s double").where(F.col("s") >= similarity).select("a", "b")
-
-    def with_salts(pairs: DataFrame) -> DataFrame:
-        """How many tasks the members of each lead are dealt to: in proportion to their number."""
-        return pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts")), "a")
-
-    def joined(label: DataFrame | None, found: DataFrame) -> DataFrame:
-        """Labels (rep, own) of all that have one, once the links `found` (a, b) hold too."""
-        if label is None:
-            return components(found).select(F.col("node").alias("rep"), F.col("label").alias("own"))
-        a, b = (label.select(F.col("rep").alias(x), F.col("own").alias(f"own_{x}")) for x in "ab")
-        edges = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("own_a", "a").alias("a"), F.coalesce("own_b", "b").alias("b"))
-        moved = components(edges).select(F.col("node").alias("was"), F.col("label").alias("now"))
-        known = label.unionByName(moved.select(F.col("was").alias("rep"), F.col("was").alias("own"))).groupBy("rep").agg(F.min("own").alias("own"))
-        return known.join(moved, F.col("own") == F.col("was"), "left").select("rep", F.coalesce("now", "own").alias("own"))
-
-    label, left, asked = None, member, None
-    n_members = n_left = left.count()
-    while n_left:
-        lead = left.groupBy("band", "h").agg(F.min("rep").alias("lead"))
-        rest = left.join(lead, ["band", "h"]).where("rep <> lead")
-        pairs = rest.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        asked = pairs if asked is None else asked.unionByName(pairs)
-        label = cut(joined(label, cut(links(with_salts(pairs)))))
-        own = label.select(F.col("rep").alias("rep_"), "own")
-        of_rep = rest.join(own, F.col("rep") == F.col("rep_"), "left").select("band", "h", "lead", "rep", F.coalesce("own", "rep").alias("own_rep"))
-        left = cut(of_rep.join(own, F.col("lead") == F.col("rep_"), "left").where(F.col("own_rep") != F.coalesce("own", "lead")).select("band", "h", "rep"))
-        was, n_left = n_left, left.count()
-        if n_left <= FEW_LEFT * n_members or n_left > (1 - WORTH_A_ROUND) * was:
-            break
-
-    if n_left:
-        # buckets that are still split: members outside the largest component, against those of other components
-        own = label.select(F.col("rep").alias("rep_"), "own")
-        graded = member.join(left.select("band", "h").distinct(), ["band", "h"], "left_semi")
-        graded = graded.join(own, F.col("rep") == F.col("rep_"), "left").select("band", "h", "rep", F.coalesce("own", "rep").alias("own"))
-        graded = cut(graded.join(folded.select("rep", "n", "bands", "sketch"), "rep"))
-        largest = graded.groupBy("band", "h", "own").agg(F.count("*").alias("size")).groupBy("band", "h").agg(F.max(F.struct("size", "own"))["own"].alias("main"))
-        graded = graded.join(largest, ["band", "h"])
-        minor = graded.where("own <> main").select(*(F.col(c).alias(f"f_{c}") for c in ("band", "h", "rep", "own", "n", "bands", "sketch")))
-        apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("f_sketch", F.lit(i)))) for i in range(-(-bands * rows * SKETCH_BITS // 64))), F.lit(0))
-        # each pair once: no band before this one is shared
-        first = ~F.exists(F.slice(F.arrays_zip(F.col("bands").alias("x"), F.col("f_bands").alias("y")), F.lit(1), F.col("band")), lambda z: z["x"] == z["y"])
-        near = (F.col("f_band") == F.col("band")) & (F.col("f_h") == F.col("h")) & (F.col("f_own") != F.col("own"))
-        near &= ((F.col("own") == F.col("main")) | (F.col("f_rep") < F.col("rep"))) & (apart <= most_bits_apart(bands * rows, similarity)) & first
-        if weighting == "set":
-            near &= (F.col("f_n") >= similarity * F.col("n")) & (F.col("n") >= similarity * F.col("f_n"))
-        pairs = minor.join(graded, near).select(F.least("f_rep", "rep").alias("a"), F.greatest("f_rep", "rep").alias("b"))
-        pairs = cut(pairs.distinct().join(asked, ["a", "b"], "left_anti"))
-        label = cut(joined(label, cut(links(with_salts(pairs)))))
+    # the first comparison: a lead's set meets its members in tasks of about SALT members
+    pairs = cut(member.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
+    salted = cut(pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")))
+    heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", F.lit(None).cast("bigint").alias("b"), "salt", "shingles")
+    others = salted.join(sets, F.col("b") == F.col("doc_id")).select("a", "b", "salt", "shingles")
+    together = heads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    linked = cut(together.mapInArrow(_verifier(weighting), "a bigint, b bigint, s double").where(F.col("s") >= similarity).select("a", "b"))
+    label = components(linked).select(F.col("node").alias("rep"), F.col("label").alias("own"))
+
+    # the second: buckets that are still split, members outside the largest component against those of the others
+    graded = cut(member.join(label, "rep", "left").select("band", "h", "rep", "n", F.coalesce("own", "rep").alias("own")))
+    per = graded.groupBy("band", "h", "own").agg(F.count("*").alias("size"), F.sum("n").alias("n_all"))
+    split = per.groupBy("band", "h").agg(F.count("*").alias("parts"), F.max(F.struct("size", "own", "n_all")).alias("main"), F.sum("size").alias("size"), F.sum("n_all").alias("n_all")).where("parts > 1")
+
+    def n_blocks(size, n):
+        return F.greatest(F.ceil(size / BLOCK_MEMBERS), F.ceil(n / BLOCK_SHINGLES)).cast("bigint")
+
+    split = cut(
+        split.select(
+            "band", "h", F.col("main.own").alias("main"), n_blocks(F.col("size"), F.col("n_all")).alias("all_blocks"), n_blocks(F.col("size") - F.col("main.size"), F.col("n_all") - F.col("main.n_all")).alias("minor_blocks")
+        )
+    )
+    if not split.isEmpty():
+        rest = graded.join(split, ["band", "h"])
+        spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        block = lambda n: F.pmod(F.xxhash64("rep", "band"), F.col(n))
+        minor = rest.where("own <> main").select("band", "h", block("minor_blocks").alias("i"), spread("all_blocks").alias("j"), F.lit(True).alias("minor"), "rep", "own")
+        every = rest.select("band", "h", spread("minor_blocks").alias("i"), block("all_blocks").alias("j"), F.lit(False).alias("minor"), "rep", "own")
+        facing = minor.unionByName(every).join(sets, F.col("rep") == F.col("doc_id")).drop("doc_id")
+        facing = facing.repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
+        crossed = cut(facing.mapInArrow(_blocks(similarity, weighting), "a bigint, b bigint").distinct())
+        label = components(linked.unionByName(crossed)).select(F.col("node").alias("rep"), F.col("label").alias("own"))
 
     found = folded.select("content", "rep")
-    found = found.join(label, "rep", "left").select("content", F.coalesce("own", "rep").alias("class_id")) if label is not None else found.select("content", F.col("rep").alias("class_id"))
+    found = found.join(label, "rep", "left").select("content", F.coalesce("own", "rep").alias("class_id"))
     return one.select("doc_id", "content").join(found, "content").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))
 
 
