@@ -52,87 +52,137 @@ def capped(counts: DataFrame, parent: str, order: list[str], n: str, cap: int) -
 class Block:
     kind: str  # heading, paragraph, table
     text: str
-    section: str = ""
+    section: str = ""  # number of a heading or table
     title: str = ""
 
+    @property
+    def label(self) -> str:
+        return " ".join(f"{self.section} {self.title}".split())
+
+
+_CAPTION = re.compile(r"\s*Table\s+([0-9A-Za-z][0-9A-Za-z.-]*?)\s*[:.]?\s+(.*)", re.S)
+
 
 def blocks_of(markdown: str) -> list[Block]:
-    """Headings, paragraphs and pipe tables of Markdown text."""
+    """Headings, paragraphs and pipe tables of Markdown text; a table is named by a caption just before it."""
     out: list[Block] = []
     for part in re.split(r"\n\s*\n", markdown or ""):
         lines = [x for x in part.strip().split("\n") if x.strip()]
         if not lines:
             continue
-        m = re.match(r"(#{1,6})\s+(?:([0-9A-Z]+(?:\.\d+)*)\s+)?(.*)", lines[0])
+        m = re.match(r"(#{1,6})\s+(?:([0-9A-Z]+(?:\.\d+[A-Z]*)*)\s+)?(.*)", lines[0])
         if m:
-            out.append(Block("heading", lines[0].lstrip("# "), m[2] or "", m[3]))
+            out.append(Block("heading", lines[0], m[2] or "", m[3]))
             lines = lines[1:]
-        if lines:
-            out.append(Block("table" if all(x.lstrip().startswith("|") for x in lines) else "paragraph", "\n".join(lines)))
+        if lines and all(x.lstrip().startswith("|") for x in lines):
+            caption = _CAPTION.match(out[-1].text) if out and out[-1].kind == "paragraph" else None
+            out.append(Block("table", "\n".join(lines), *((caption[1], caption[2]) if caption else ())))
+        elif lines:
+            out.append(Block("paragraph", "\n".join(lines)))
     return out
 
 
-def structural_chunks(blocks: list[Block], most_words: int = 512, most_chars: int = 1500, overlap: int = 24) -> list[dict]:
-    """Chunks of whole sentences and table rows under both ceilings, with the sections they touch.
+@dataclass
+class _Piece:
+    """What is never split further: a heading, a sentence or a part of one, a table or a row of it."""
 
-    A table that is too large is split by rows, its header repeated; a row is never split. A chunk
-    starts with the last words of the one before, unless that was a table.
-    """
-    out: list[dict] = []
-    now: list[str] = []
-    sections: list[str] = []
+    text: str
+    section: str
+    tables: tuple[str, ...] = ()
+    atomic: bool = False
+    table: int | None = None  # of which split table a row is
+    head: str = ""
+    join: str = "\n\n"  # what parts it from an overlap
+
+    def words(self) -> int:
+        return len(self.text.split())
+
+
+def _runs(sentence: str, most_words: int, most_chars: int) -> list[str]:
+    """A sentence in runs of words under both ceilings; a word that is too long is a run of its own."""
+    if len(sentence) <= most_chars and len(sentence.split()) <= most_words:
+        return [sentence]
+    out: list[list[str]] = [[]]
+    for w in sentence.split():
+        if out[-1] and (len(out[-1]) >= most_words or sum(map(len, out[-1])) + len(out[-1]) + len(w) > most_chars):
+            out.append([])
+        out[-1].append(w)
+    return [" ".join(r) for r in out]
+
+
+def _pieces(blocks: list[Block], most_words: int, most_chars: int) -> Iterator[_Piece]:
     section = ""
-    tail: list[str] = []
+    for at, b in enumerate(blocks):
+        if b.kind == "heading":
+            section = b.label
+            yield _Piece(b.text, section)
+        elif b.kind == "paragraph":
+            near = [x for x in (blocks[at - 1] if at else None, blocks[at + 1] if at + 1 < len(blocks) else None) if x and x.kind == "table"]
+            tables = (near[0].label,) if near and _CAPTION.match(b.text) and near[0].label else ()
+            for sentence in [x for x in re.split(r"(?<=[.!?])\s+", b.text.strip()) if x] or [b.text]:
+                for k, run in enumerate(_runs(sentence, most_words, most_chars)):
+                    yield _Piece(run, section, tables, join=" " if k else "\n\n")
+        elif len(b.text) <= most_chars:
+            yield _Piece(b.text, section, (b.label,), atomic=True)
+        else:
+            lines = b.text.split("\n")
+            for row in lines[2:]:
+                if row.strip():
+                    yield _Piece(row, section, (b.label,), atomic=True, table=at, head="\n".join(lines[:2]))
 
-    def size(parts: list[str]) -> tuple[int, int]:
-        return sum(len(p.split()) for p in parts), sum(map(len, parts)) + max(0, len(parts) - 1)
 
-    def close(table: bool = False) -> None:
-        nonlocal now, tail
-        if now:
-            text = "\n".join(now) if table else " ".join(now)
-            out.append({"text": " ".join([*tail, text]) if tail and not table else text, "sections": list(dict.fromkeys(sections)), "table": table})
-            tail = [] if table or not overlap else text.split()[-overlap:]
-        now = []
-        sections.clear()
+def structural_chunks(blocks: list[Block], most_words: int = 512, most_chars: int = 1500, overlap: int = 24) -> list[dict]:
+    """Chunks (text, sections, tables, table: it ends in one) of headings, sentences and table rows under both ceilings.
 
-    for b in blocks:
-        if b.kind == "heading":
-            section = b.section or b.title
-            continue
-        if b.kind == "table":
-            close()
-            rows = b.text.split("\n")
-            head = rows[:2] if len(rows) > 1 and set(rows[1]) <= set("|-: ") else []
-            for row in rows[len(head) :]:
-                w, c = size([*(now or head), row])
-                if now and now != head and (w > most_words or c > most_chars):
-                    close(True)
-                if not now:
-                    now, sections[:] = list(head), [section] if section else []
-                now.append(row)
-            close(True)
+    A sentence over a ceiling is split between words, a table over the ceiling of characters by rows, its
+    header repeated in each chunk; a row is never split, so that one over a ceiling is a chunk alone. A
+    chunk starts with the last words of the one before and takes their sections and tables over, unless
+    these words are a table's or it starts with them already.
+    """
+    if most_words < 1 or not 0 <= overlap < most_words:
+        raise ValueError("most_words must be positive and overlap less than most_words")
+    groups: list[list[tuple[str, _Piece]]] = [[]]
+
+    def shown(p: _Piece) -> str:
+        return f"{p.head}\n{p.text}" if p.head and all(q.table != p.table for _, q in groups[-1]) else p.text
+
+    for p in _pieces(blocks, most_words, most_chars):
+        text, group = shown(p), groups[-1]
+        now = "\n\n".join(x for x, _ in group)
+        if group and (len(now.split()) + len(text.split()) > most_words or len(now) + len(text) + (0 if p.atomic else 2) > most_chars):
+            groups.append([])
+            text = shown(p)
+        groups[-1].append((text, p))
+        if p.atomic and (len(text.split()) > most_words or len(text) > most_chars):
+            groups.append([])
+    out: list[dict] = []
+    tail: list[tuple[str, _Piece]] = []
+    before = ""
+    for group in groups:
+        text = "\n\n".join(x for x, _ in group).strip()
+        if not text:
             continue
-        for sentence in re.split(r"(?<=[.!?])\s+", " ".join(b.text.split())):
-            w, c = size([*tail, *now, sentence])
-            if now and (w > most_words or c > most_chars):
-                close()
-            now.append(sentence)
-            if section:
-                sections.append(section)
-    close()
+        words = [(w, p) for x, p in group for w in x.split()]
+        own = list(group)
+        # the words before, exactly as they stand there
+        if tail and text.split()[: len(tail)] != [w for w, _ in tail] and not any(p.atomic for _, p in tail):
+            text = before[list(re.finditer(r"\S+", before))[-len(tail)].start() :] + group[0][1].join + text
+            own, words = tail + own, tail + words
+        each = lambda names: list(dict.fromkeys(n for n in names if n))
+        out.append({"text": text, "sections": each(p.section for _, p in own), "tables": each(t for _, p in own for t in p.tables), "table": group[-1][1].atomic})
+        before, tail = text, words[-overlap:] if overlap else []
     return out
 
 
 def structural_table(rows: DataFrame, key: str, text: str, **limits) -> DataFrame:
-    """key, chunk_index, chunk, sections, is_table for each row's Markdown."""
+    """key, chunk_index, chunk, sections, tables, is_table for each row's Markdown."""
     kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(k, i, c["text"], c["sections"], c["table"]) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, c in enumerate(structural_chunks(blocks_of(t), **limits))]
-            cols = list(zip(*out, strict=True)) if out else [()] * 5
-            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [key, "chunk_index", "chunk", "sections", "is_table"])
+            out = [(k, i, c["text"], c["sections"], c["tables"], c["table"]) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, c in enumerate(structural_chunks(blocks_of(t), **limits))]
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [key, "chunk_index", "chunk", "sections", "tables", "is_table"])
 
-    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_index int, chunk string, sections array<string>, is_table boolean")
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, chunk_index int, chunk string, sections array<string>, tables array<string>, is_table boolean")

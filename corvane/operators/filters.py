@@ -91,10 +91,67 @@ def label_number(label: Column, digits: int) -> Column:
 def in_bracket(prefix: Column, number: Column, start: Column, end: Column, digits: int) -> Column:
     """Whether a number lies in the range of two numbered labels with the same prefix; an absent end is open.
 
-    Only the first character after the prefix has to be a digit, and leading digits are the number.
+    Labels are six or seven characters longer than the prefix. Only the first character after the prefix
+    has to be a digit, and leading digits are the number.
     """
-    ok = (F.substring(start, 1, digits) == prefix) & F.substring(start, digits + 1, 1).rlike("^[0-9]")
-    return ok & (number >= label_number(start, digits)) & (end.isNull() | ((F.substring(end, 1, digits) == prefix) & (number <= label_number(end, digits))))
+    def labelled(c: Column) -> Column:
+        return F.length(c).isin(digits + 6, digits + 7) & (F.substring(c, 1, digits) == prefix) & F.substring(c, digits + 1, 1).rlike("^[0-9]")
+
+    return labelled(start) & (number >= label_number(start, digits)) & (end.isNull() | (labelled(end) & (number <= label_number(end, digits))))
+
+
+def upper_rich(c: Column, value: str | None) -> Column:
+    """`rich` for columns that hold upper case: the pattern is upper-cased, the words null and not-null are not."""
+    return rich(c, value if not value or value.strip().lower() in ("null", "not-null") else value.upper())
+
+
+def any_list(columns: list[Column], value: str | None) -> Column:
+    """Several delimited lists as one: `null` if all are empty; LIKE on upper case; `!` negates the whole, and empty lists count as ''."""
+    if not value:
+        return F.lit(True)
+    empty = all_of([F.coalesce(c, F.lit("")) == "" for c in columns])
+    word = value.strip().lower()
+    if word in ("null", "not-null"):
+        return empty if word == "null" else ~empty
+    held = any_of([_like(F.upper(F.coalesce(c, F.lit(""))), value.removeprefix("!").upper()) for c in columns])
+    return ~held if value.startswith("!") else held
+
+
+def fold(filters: dict[str, str | None], columns: dict[str, str], dates: Iterable[str] = ()) -> Column:
+    """All of a map of filters: name -> value, with `columns` naming the column of each; `dates` are compared as days. Unknown names are an error."""
+    unknown = sorted(set(filters) - set(columns))
+    if unknown:
+        raise ValueError(f"unknown filters: {', '.join(unknown)}")
+    return all_of([(date_filter if name in dates else rich)(F.col(columns[name]), value) for name, value in filters.items() if value])
+
+
+def limited(n: int, most: int) -> int:
+    """A limit between 0 and `most`; ValueError beyond."""
+    if not 0 <= n <= most:
+        raise ValueError(f"the limit has to lie between 0 and {most}")
+    return n
+
+
+def release_filter(value: str) -> str:
+    if len(value) > 32:
+        raise ValueError("a release has 32 characters at most")
+    return value
+
+
+def spec_filter(value: str) -> str:
+    """A specification number, a pattern of one, or a null test."""
+    word = value.strip().lower()
+    if word not in ("null", "not-null") and not re.fullmatch(r"!?[\d.%_-]+", value.strip()):
+        raise ValueError(f"not a specification: {value!r}")
+    return value
+
+
+def id_filter(value: str) -> tuple[str, int]:
+    """Prefix and number of a document number; ValueError for other shapes."""
+    m = re.fullmatch(r"([RSC][1-9P][-sw])(\d{6,7})", value.strip(), re.I)
+    if not m:
+        raise ValueError(f"not a document number: {value!r}")
+    return m[1].upper() if m[1][2] == "-" else m[1][:2].upper() + m[1][2].lower(), int(m[2])
 
 
 class DateSet:

@@ -85,11 +85,11 @@ def contiguous(rows: DataFrame, parent: str, index: str) -> DataFrame:
     return a.select(parent, "n", ((F.col("d") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1)).alias("complete"))
 
 
-def islands(rows: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
-    """Unions of intervals that overlap or touch (integers or dates): key, start, end."""
+def islands(rows: DataFrame, key: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
+    """Unions of intervals that overlap, touch or leave at most `gap` between them (integers or dates): key, start, end."""
     w = Window.partitionBy(*key).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.select(*key, start, end, F.coalesce((F.col(start) > before + 1).cast("int"), F.lit(1)).alias("new"))
+    marked = rows.select(*key, start, end, F.coalesce((F.col(start) > before + (1 + gap)).cast("int"), F.lit(1)).alias("new"))
     return marked.select("*", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run")).groupBy(*key, "run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("run")
 
 
@@ -117,3 +117,12 @@ def bracket_join(rows: DataFrame, brackets: DataFrame, prefix: str, number: str,
     met = rows.withColumn("_bucket", F.floor(F.col(number) / width)).join(closed, same & (F.col("_bucket") == F.col("_reach")))
     onward = rows.join(F.broadcast(brackets.where(F.col(end).isNull())), same & (F.col(number) >= low))
     return met.where(inside).drop("_bucket", "_reach").unionByName(onward.where(inside))
+
+
+def like_members(rows: DataFrame, key: str, column: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """key, pattern where the comma-wrapped list is LIKE `%,pattern,%`, any case: wildcards in a pattern count, members aren't trimmed.
+
+    A theta join for pattern tables that are small by nature; `list_members` with an equality join is the scalable form.
+    """
+    held = F.expr(f"concat(',', {column}, ',') ilike concat('%,', replace({pattern}, '\\\\', '\\\\\\\\'), ',%')")
+    return rows.select(key, column).join(F.broadcast(patterns.select(pattern).distinct()), held).select(key, pattern)

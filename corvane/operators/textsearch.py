@@ -11,19 +11,40 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SEPARATORS, all_of, any_of, let, tokens
+from ..functions.text import ID, SEPARATORS, all_of, any_of, fold_text, let, normalize_ids, tokens
 
 K1, B = 1.2, 0.75
-STOP_WORDS = frozenset("a an and are as at be by for from in is it of on or that the this to was with".split())
+#: Words of which a query may not consist alone, and marks that make a text a query expression.
+STOP_WORDS = frozenset("a and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 _MARKERS = (" AND ", " OR ", " NOT ", '"', "*", "NEAR")
 
 
-class QueryError(ValueError):
+class SearchError(ValueError):
+    """A search that can't be answered; `exit_code` tells what kind of fault it is."""
+
+    exit_code = 1
+
+
+class QueryError(SearchError):
     """The query can't be read."""
 
+    exit_code = 2
+
+
+class IndexCorruptError(SearchError):
+    """The index contradicts itself and has to be built anew."""
+
+    exit_code = 3
+
+
+class IndexUnavailableError(SearchError):
+    """There is no index (yet)."""
+
+    exit_code = 1
+
 
 @dataclass(frozen=True)
 class Phrase:
@@ -50,7 +71,22 @@ _LEX = re.compile(r'\s*(?:"((?:[^"]|"")*)"|([()+:^*,{}])|([^\s"()+:^*,{}]+))')
 
 
 def _terms(text: str) -> tuple[str, ...]:
-    return tuple(t for t in re.split(r"[^\w]|_", text.lower()) if t)
+    return tuple(t for t in re.split(r"[^\w]|_", fold_text(text.lower())) if t)
+
+
+def normalize_query(text: str) -> str:
+    """The rule of `normalize_ids` for a query on the driver, token by token."""
+    def number(m: re.Match) -> str:
+        base = m[1][:2].upper() + m[1][2:].lower()
+        return f"{base} {base}{m[2].lower()}"
+
+    each = (re.sub(rf"({ID})((?:r\d+)?)", number, t, flags=re.I) for t in text.split())
+    return " ".join(re.sub(r"(^|\D)(\d+)\.(\d+(?:-\d+)?)", r"\1\2_\3", t) for t in each)
+
+
+def indexed(text: Column) -> Column:
+    """What of a text is searched: document numbers also by their base. (An underscore parts tokens as a dot does, so only these change them.)"""
+    return F.when(F.coalesce(text, F.lit("")).rlike(rf"(?i){ID}"), normalize_ids(text)).otherwise(F.coalesce(text, F.lit("")))
 
 
 class _Parser:
@@ -129,16 +165,19 @@ class _Parser:
 
 
 def parse(text: str):
-    """User text to a tree. Text without an operator mark is one phrase."""
+    """User text to a tree. Text without an operator mark is one phrase; in others, 'single quotes' are phrases as well."""
     text = text.strip()
     if not text:
         raise QueryError("the query is empty")
+    words = re.findall(r"\w+", text.lower())
+    if words and all(w in STOP_WORDS for w in words):
+        raise QueryError("the query has only stop words")
     if not any(m in text for m in _MARKERS):
-        words = _terms(text)
-        if not words or all(w in STOP_WORDS for w in words) and len(words) == 1:
-            raise QueryError("the query has only stop words")
-        return Phrase(words)
-    p = _Parser(text)
+        terms = _terms(normalize_query(text))
+        if not terms:
+            raise QueryError("the query has no words")
+        return Phrase(terms)
+    p = _Parser(normalize_query(re.sub(r"'([^']*)'", r'"\1"', text)))
     tree = p.query()
     if p.peek()[0] != "end":
         raise QueryError(f"can't read {p.peek()[1]!r}")
@@ -150,7 +189,9 @@ def _hit(token: Column, term: str, prefix: bool) -> Column:
 
 
 def positions(toks: Column, p: Phrase) -> Column:
-    """Starts (from 1) of a phrase in a token array."""
+    """Starts (from 1) of a phrase in a token array, or as an index tells them (`toks` is then a function of the phrase)."""
+    if callable(toks) and not isinstance(toks, Column):
+        return toks(p)
     n = len(p.terms)
     if n == 0:
         return F.array().cast("array<int>")
@@ -213,32 +254,137 @@ def search(
     Statistics are those of the whole table, whatever `where` lets pass. Ties go to the smaller key.
     """
     tree = parse(query)
-    scored, gates = phrases(tree), [[g for g in gs if isinstance(g, Op)] for _, gs in gated(tree)]
-    with_tokens = rows.select("*", *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"toks_{c}") for c in columns])
+    with_tokens = rows.select("*", *[tokens(indexed(F.col(c))).alias(f"toks_{c}") for c in columns])
     toks = {c: F.col(f"toks_{c}") for c in columns}
-    tf = {i: {c: F.size(positions(toks[c], p)) if p.column in (None, c) else F.lit(0) for c in columns} for i, p in enumerate(scored)}
-    counted = with_tokens.select(
-        F.col(key),
-        reduce(lambda a, b: a + b, [F.size(t) for t in toks.values()]).alias("len_"),
-        matches(tree, toks).alias("match_"),
-        (where if where is not None else F.lit(True)).alias("pass_"),
-        *[
-            F.when(all_of([matches(g, toks) for g in gates[i]]), reduce(lambda a, b: a + b, [tf[i][c] * F.lit(float(w)) for c, w in columns.items()])).otherwise(0.0).alias(f"f{i}")
-            for i in tf
-        ],
-        *[reduce(lambda a, b: a + b, [tf[i][c] for c in columns]).alias(f"any{i}") for i in tf],
-    )
-    stats = counted.agg(F.count("*").alias("n_"), F.avg("len_").alias("avg_"), *[F.count_if(F.col(f"any{i}") > 0).alias(f"df{i}") for i in tf])
+    length = reduce(lambda a, b: a + b, [F.size(t) for t in toks.values()])
+    counted = with_tokens.select(F.col(key), length.alias("len_"), (where if where is not None else F.lit(True)).alias("pass_"), *_counts(tree, toks, columns))
+    stats = counted.agg(F.count("*").alias("n_"), F.avg("len_").alias("avg_"), *_frequencies(tree))
+    return _best(counted.crossJoin(F.broadcast(stats)), tree, key, limit, digits)  # one row
+
 
+def _counts(tree, toks: dict, columns: dict[str, float]) -> list[Column]:
+    """match_, and for each scored phrase its weighted frequency f{i} and its plain one any{i}."""
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    out = [matches(tree, toks).alias("match_")]
+    for i, (p, gates) in enumerate(gated(tree)):
+        tf = {c: F.size(positions(toks[c], p)) if p.column in (None, c) else F.lit(0) for c in columns}
+        weighted = add([tf[c] * F.lit(float(w)) for c, w in columns.items()])
+        held = all_of([matches(g, toks) for g in gates if isinstance(g, Op)])
+        out += [F.when(held, weighted).otherwise(0.0).alias(f"f{i}"), add(list(tf.values())).alias(f"any{i}")]
+    return out
+
+
+def _frequencies(tree) -> list[Column]:
+    return [F.count_if(F.col(f"any{i}") > 0).alias(f"df{i}") for i in range(len(gated(tree)))]
+
+
+def _best(counted: DataFrame, tree, key: str, limit: int | None, digits: int) -> DataFrame:
     def part(i: int) -> Column:
         n, df, f = F.col("n_"), F.col(f"df{i}"), F.col(f"f{i}")
         idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len_") / F.col("avg_")))
 
-    hits = counted.where("match_ and pass_").crossJoin(F.broadcast(stats))  # one row
-    score = -reduce(lambda a, b: a + b, [F.coalesce(F.when(F.col(f"f{i}") > 0, part(i)), F.lit(0.0)) for i in tf])
-    top = hits.select(key, F.round(score, digits).alias("score")).orderBy("score", key).limit(limit)
-    return top
+    parts = [F.coalesce(F.when(F.col(f"f{i}") > 0, part(i)), F.lit(0.0)) for i in range(len(gated(tree)))]
+    top = counted.where("match_ and pass_").select(key, F.round(-reduce(lambda a, b: a + b, parts), digits).alias("score"))
+    return top if limit is None else top.orderBy("score", key).limit(limit)
+
+
+@dataclass(frozen=True)
+class Index:
+    """A positional index as two tables: postings (term, key, col, positions) and lengths (key, len_)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    key: str
+    columns: tuple[str, ...]
+
+    @classmethod
+    def build(cls, rows: DataFrame, key: str, columns: list[str]) -> Index:
+        lengths = rows.select(key, reduce(lambda a, b: a + b, [F.size(tokens(indexed(F.col(c)))) for c in columns]).alias("len_"))
+        return cls(postings(rows, key, columns), lengths, key, tuple(columns))
+
+    def write(self, path: str) -> None:
+        """Postings sorted by term, so that a query's filter on terms prunes row groups."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+    @classmethod
+    def read(cls, spark, path: str, key: str, columns: list[str]) -> Index:
+        try:
+            p, n = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+        except Exception as e:
+            raise IndexUnavailableError(f"no index at {path}") from e
+        if {"term", key, "col", "positions"} - set(p.columns) or {key, "len_"} - set(n.columns):
+            raise IndexCorruptError(f"the index at {path} lacks columns")
+        return cls(p, n, key, tuple(columns))
+
+    def status(self) -> DataFrame:
+        """One row: n_rows, n_terms, n_positions."""
+        p = self.postings.agg(F.countDistinct("term").alias("n_terms"), F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("n_positions"))
+        return self.lengths.agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(p))  # one row each
+
+    def search(self, query: str, weights: dict[str, float], passing: DataFrame | None = None, limit: int | None = 20, digits: int = 6) -> DataFrame:
+        """key, score: the same rows as `search` gives on the texts. Only the postings of the query's terms are read; `passing` lists keys that may be hits."""
+        tree, key = parse(query), self.key
+        asked = sorted({(t, p.prefix and k == len(p.terms) - 1) for p in _all_phrases(tree) for k, t in enumerate(p.terms)})
+        name = {a: i for i, a in enumerate(asked)}
+        here = any_of([_hit(F.col("term"), t, prefix) for t, prefix in asked])
+        found = self.postings.where(here & F.col("col").isin(*weights)).groupBy(key).agg(
+            *[
+                F.array_sort(F.flatten(F.collect_list(F.when(_hit(F.col("term"), t, prefix) & (F.col("col") == c), F.col("positions"))))).alias(f"p{i}_{c}")
+                for (t, prefix), i in name.items()
+                for c in weights
+            ]
+        )
+
+        def starts(c: str):
+            def of(p: Phrase) -> Column:
+                at = lambda k: F.col(f"p{name[(p.terms[k], p.prefix and k == len(p.terms) - 1)]}_{c}")
+                if not p.terms:
+                    return F.array().cast("array<int>")
+                out = F.filter(at(0), lambda x: all_of([F.array_contains(at(k), x + k) for k in range(1, len(p.terms))])) if len(p.terms) > 1 else at(0)
+                return F.filter(out, lambda x: x == 1) if p.first else out
+
+            return of
+
+        toks = {c: starts(c) for c in weights}
+        counted = found.select(key, *_counts(tree, toks, weights))
+        stats = self.lengths.agg(F.count("*").alias("n_"), F.avg("len_").alias("avg_")).crossJoin(F.broadcast(counted.agg(*_frequencies(tree))))  # one row each
+        hits = counted.where("match_").join(self.lengths, key).withColumn("pass_", F.lit(True))
+        if passing is not None:
+            hits = hits.join(passing.select(key), key, "left_semi")
+        return _best(hits.crossJoin(F.broadcast(stats)), tree, key, limit, digits)
+
+
+def _all_phrases(node) -> list[Phrase]:
+    """Every phrase of the tree, those under NOT included."""
+    if isinstance(node, Op):
+        return _all_phrases(node.left) + _all_phrases(node.right)
+    return list(node.phrases) if isinstance(node, Near) else [node]
+
+
+def parents(hits: DataFrame, parent: str, key: str, limit: int = 20) -> DataFrame:
+    """parent, score (its best hit's), rank (from 0), hits (array of key and score, best first): the best `limit` parents of scored rows."""
+    best = hits.groupBy(parent).agg(F.min("score").alias("score"), F.array_sort(F.collect_list(F.struct("score", key))).alias("hits"))
+    top = best.orderBy("score", parent).limit(limit)
+    return top.select(parent, "score", (F.row_number().over(Window.orderBy("score", parent)) - 1).alias("rank"), "hits")  # `limit` rows
+
+
+def matched_source(query: str, columns: list[str]) -> Column:
+    """The first of the columns (in order of priority) that alone holds a phrase of the query; null if none does."""
+    wanted = phrases(parse(query))
+    return F.coalesce(*[F.when(any_of([F.size(positions(tokens(indexed(F.col(c))), p)) > 0 for p in wanted]), F.lit(c)) for c in columns])
+
+
+def search_text(*parts: Column) -> Column:
+    """The text that is indexed for a record: its fields, absent ones left out, parted by blanks."""
+    return F.concat_ws(" ", *parts)
+
+
+def mode_of(text: str | None, semantic: str | None) -> str:
+    """Which search is meant: hybrid, text, semantic or filter. Blank is absent."""
+    t, s = bool((text or "").strip()), bool((semantic or "").strip())
+    return "hybrid" if t and s else "text" if t else "semantic" if s else "filter"
 
 
 def snippet(text: Column, query: str, width: int = 8, left: str = "<<", right: str = ">>", more: str = "…") -> Column:
@@ -268,7 +414,7 @@ def snippet(text: Column, query: str, width: int = 8, left: str = "<<", right: s
 
 def postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """The positional index: term, key, col, positions (from 1). Terms are combined per document before the shuffle."""
-    per = [rows.select(F.col(key), F.lit(c).alias("col"), F.posexplode(tokens(F.coalesce(F.col(c), F.lit("")))).alias("pos", "term")) for c in columns]
+    per = [rows.select(F.col(key), F.lit(c).alias("col"), F.posexplode(tokens(indexed(F.col(c)))).alias("pos", "term")) for c in columns]
     return reduce(DataFrame.unionByName, per).groupBy("term", key, "col").agg(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
 
 

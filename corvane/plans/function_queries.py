@@ -11,9 +11,12 @@ from ..streaming import sessions
 from .registry import register
 
 
-@register("norm_ids", """SELECT o_orderkey, 'see R5-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || CASE WHEN o_orderkey % 2 = 0 THEN ' R5-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || 'r2' ELSE '' END || ' of 38_300' AS text FROM orders""")
+_NUMBER = "'R5-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0')"
+
+
+@register("norm_ids", f"""SELECT o_orderkey, 'see ' || {_NUMBER} || ' ' || {_NUMBER} || CASE WHEN o_orderkey % 2 = 0 THEN 'r2' ELSE '' END || ' of 38_300-1 and 1_2.3_4' AS text FROM orders""")
 def norm_ids(spark, sf_dir):
-    said = F.concat(F.lit("see r5-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.when(F.col("o_orderkey") % 2 == 0, "R2").otherwise(""), F.lit(" of 38.300"))
+    said = F.concat(F.lit("see r5-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.when(F.col("o_orderkey") % 2 == 0, "R2").otherwise(""), F.lit(" of 38.300-1 and 1.2.3.4"))
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.normalize_ids(said).alias("text"))
 
 
@@ -22,11 +25,11 @@ def norm_path(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.normalize_path(F.col("url")).alias("path"))
 
 
-@register("norm_release", "SELECT n_nationkey, 'Rel-' || n_nationkey AS a, 'R9' || (n_nationkey % 10) AS b, CASE WHEN n_nationkey = 0 THEN 'draft' WHEN n_nationkey < 4 THEN 'pre-release' ELSE 'Rel-' || n_nationkey END AS c FROM nation")
+@register("norm_release", "SELECT n_nationkey, 'Rel-' || n_nationkey AS a, CASE WHEN n_nationkey % 10 = 9 THEN 'R99' ELSE 'Rel-199' || (n_nationkey % 10) END AS b, CASE WHEN n_nationkey = 0 THEN 'draft' WHEN n_nationkey < 4 THEN 'pre-release' ELSE 'Rel-' || n_nationkey END AS c FROM nation")
 def norm_release(spark, sf_dir):
     n = F.col("n_nationkey").cast("string")
     return table(spark, sf_dir, "nation").select(
-        "n_nationkey", tx.release_name(F.concat(F.lit("Release "), n)).alias("a"), tx.release_name(F.concat(F.lit("199"), (F.col("n_nationkey") % 10).cast("string"))).alias("b"), tx.release_of_version(F.concat(n, F.lit(".1.0"))).alias("c")
+        "n_nationkey", tx.release_name(F.concat(F.lit("Release "), n)).alias("a"), tx.release_name(F.concat(F.lit("release  199"), (F.col("n_nationkey") % 10).cast("string"))).alias("b"), tx.release_of_version(F.concat(n, F.lit(".1.0"))).alias("c")
     )
 
 
@@ -53,9 +56,10 @@ def preview_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", a.alias("content_preview"), b.alias("preview_truncated"))
 
 
-@register("url_strip", r"SELECT page_id, trim(regexp_replace(regexp_replace('See ' || url || ' and more', '(?:https?|ftp)://\S+', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+@register("url_strip", r"SELECT page_id, 'See' || chr(10) || 'and p' || page_id || ' at x' AS text FROM pages")
 def url_strip(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.strip_urls(F.concat(F.lit("See "), F.col("url"), F.lit(" and more"))).alias("text"))
+    said = F.concat(F.lit("See "), F.col("url"), F.lit("\n\n and  [p"), F.col("page_id").cast("string"), F.lit("]("), F.col("url"), F.lit(") at <"), F.col("url"), F.lit("> x www.a-b.org/"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_urls(said).alias("text"))
 
 
 @register("collapse_space", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")

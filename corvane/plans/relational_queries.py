@@ -37,9 +37,9 @@ def filter_null(spark, sf_dir):
     return d.where(fl.rich(F.col("quality"), " NULL ")).select("doc_id")
 
 
-@register("filter_or_negated_group", "SELECT p_partkey FROM part WHERE NOT (p_name ILIKE '%a%' OR p_type ILIKE '%a%' OR p_brand ILIKE '%a%')")
+@register("filter_or_negated_group", "SELECT p_partkey FROM part WHERE NOT (p_name ILIKE '%y%' OR p_type ILIKE '%y%' OR p_brand ILIKE '%1')")
 def filter_or_negated_group(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(fl.rich_any([F.col("p_name"), F.col("p_type"), F.col("p_brand")], "!%a%")).select("p_partkey")
+    return table(spark, sf_dir, "part").where(fl.rich_any([F.col("p_name"), F.col("p_type")], "!%y%") & fl.rich_any([F.col("p_brand")], "!%1")).select("p_partkey")
 
 
 @register("filter_date_ops", f"SELECT {_O} FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1995-01-01' AND CAST(o_orderdate AS DATE) <> DATE '1995-06-17' AND CAST(o_orderdate AS DATE) <= DATE '1996-12-31'")
@@ -94,7 +94,7 @@ def join_inner_outer(spark, sf_dir):
 
 _RANGE = """WITH m AS (SELECT n_nationkey AS meeting, 'R' || (n_nationkey % 3) AS prefix, n_nationkey * 600 AS low, CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE n_nationkey * 600 + 450 END AS high FROM nation),
 t AS (SELECT o_orderkey, 'R' || (o_custkey % 3) AS prefix, o_orderkey AS num FROM orders)
-SELECT t.o_orderkey, m.meeting FROM t JOIN m ON t.prefix = m.prefix AND num >= low AND (high IS NULL OR num <= high) AND num < low + 600"""
+SELECT t.o_orderkey, m.meeting FROM t JOIN m ON t.prefix = m.prefix AND num >= low AND (high IS NULL OR num <= high)"""
 
 
 @register("range_bracket_join", _RANGE)
@@ -109,7 +109,7 @@ def range_bracket_join(spark, sf_dir):
 
 
 @register("delimited_containment_join", """SELECT p_partkey, word AS member FROM (SELECT p_partkey, unnest(list_distinct(list_transform(string_split(p_name, ' '), lambda x: lower(trim(x))))) AS word FROM part)
-JOIN (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS w FROM part WHERE p_partkey <= 40) ON word = w WHERE word <> ''""")
+JOIN (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS w FROM part) ON word = w WHERE word <> ''""")
 def delimited_containment_join(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     wanted = p.select(F.lower(F.substring_index("p_name", " ", 1)).alias("member")).distinct()

@@ -9,7 +9,7 @@ from ..operators import chunking, textsearch, vector
 from ..session import table
 from .registry import register
 
-_TOK = r"list_filter(string_split_regex(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_TOK = r"list_filter(string_split_regex(strip_accents(lower(coalesce({c}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
 def _toks(c: str = "text") -> str:
@@ -32,9 +32,39 @@ c AS (SELECT {key}, pass, {length} AS len_, {tf} FROM d), s AS (SELECT count(*)
 SELECT {key}, round(-({parts}), 6) AS score FROM c, s WHERE {every} AND pass ORDER BY 2, 1 LIMIT {k}"""
 
 
-@register("text_bm25_topk", _bm25(["the", "and"]))
+@register("text_bm25_topk", _bm25(["the", "from"]))
 def text_bm25_topk(spark, sf_dir):
-    return textsearch.search(table(spark, sf_dir, "documents"), "the AND and", "doc_id", {"text": 1.0})
+    return textsearch.search(table(spark, sf_dir, "documents"), "the AND from", "doc_id", {"text": 1.0})
+
+
+@register("text_index_topk", _bm25(["the", "from"]))
+def text_index_topk(spark, sf_dir):
+    """The same search on a positional index: only postings of the query's terms are evaluated."""
+    return textsearch.Index.build(table(spark, sf_dir, "documents"), "doc_id", ["text"]).search("the AND from", {"text": 1.0})
+
+
+def _messages(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "conv_id", "turn", "role", "text")
+
+
+@register("text_parents", f"""WITH h AS ({_bm25(["the", "from"], "(SELECT conv_id * 1000 + turn AS msg_id, text FROM conversations)", "msg_id", {"text": 1.0}, k=1000000000)}),
+p AS (SELECT msg_id // 1000 AS conv_id, min(score) AS score, count(*) AS n_hits, min_by(msg_id, (score, msg_id)) AS best FROM h GROUP BY 1 ORDER BY 2, 1 LIMIT 20)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, score, CAST(row_number() OVER (ORDER BY score, conv_id) - 1 AS INT) AS rank, CAST(n_hits AS INT) AS n_hits, CAST(best AS BIGINT) AS best FROM p""")
+def text_parents(spark, sf_dir):
+    rows = _messages(spark, sf_dir)
+    hits = textsearch.search(rows.select("msg_id", "text"), "the AND from", "msg_id", {"text": 1.0}, limit=None)
+    p = textsearch.parents(hits.withColumn("conv_id", F.floor(F.col("msg_id") / 1000).cast("bigint")), "conv_id", "msg_id")
+    return p.select("conv_id", "score", "rank", F.size("hits").alias("n_hits"), F.get("hits", F.lit(0))["msg_id"].alias("best"))
+
+
+@register("text_matched_source", f"SELECT conv_id * 1000 + turn AS msg_id, CASE WHEN contains(' ' || array_to_string({_toks('role')}, ' ') || ' ', ' user ') THEN 'role' WHEN contains(' ' || array_to_string({_toks()}, ' ') || ' ', ' user ') THEN 'text' END AS matched_source FROM conversations")
+def text_matched_source(spark, sf_dir):
+    return _messages(spark, sf_dir).select("msg_id", textsearch.matched_source("user", ["role", "text"]).alias("matched_source"))
+
+
+@register("text_index_status", f"SELECT count(*) AS n_rows, (SELECT count(DISTINCT t) FROM (SELECT unnest({_toks()}) AS t FROM documents)) AS n_terms, CAST(sum(len({_toks()})) AS BIGINT) AS n_positions FROM documents")
+def text_index_status(spark, sf_dir):
+    return textsearch.Index.build(table(spark, sf_dir, "documents"), "doc_id", ["text"]).status()
 
 
 @register("text_bm25_filtered", _bm25(["der", "und"], where="lang = 'de'"))
@@ -67,9 +97,9 @@ def _matching(spark, sf_dir, query):
 _PAD = f"' ' || array_to_string({_toks()}, ' ') || ' '"
 
 
-@register("text_phrase", f"SELECT doc_id FROM documents WHERE contains({_PAD}, ' of the ')")
+@register("text_phrase", f"SELECT doc_id FROM documents WHERE contains({_PAD}, ' from the ')")
 def text_phrase(spark, sf_dir):
-    return _matching(spark, sf_dir, "of the")
+    return _matching(spark, sf_dir, "from the")
 
 
 @register("text_prefix", f"SELECT doc_id FROM documents WHERE contains({_PAD}, ' tiona')")
@@ -77,9 +107,9 @@ def text_prefix(spark, sf_dir):
     return _matching(spark, sf_dir, "tiona*")
 
 
-@register("text_bool_not", f"SELECT doc_id FROM documents WHERE contains({_PAD}, ' the ') AND (contains({_PAD}, ' and ') OR contains({_PAD}, ' of ')) AND NOT contains({_PAD}, ' that ')")
+@register("text_bool_not", f"SELECT doc_id FROM documents WHERE contains({_PAD}, ' the ') AND (contains({_PAD}, ' and ') OR contains({_PAD}, ' from ')) AND NOT contains({_PAD}, ' that ')")
 def text_bool_not(spark, sf_dir):
-    return _matching(spark, sf_dir, "the AND (and OR of) NOT that")
+    return _matching(spark, sf_dir, "the AND (and OR from) NOT that")
 
 
 @register("text_near", f"""WITH p AS (SELECT doc_id, generate_subscripts({_toks()}, 1) AS i, unnest({_toks()}) AS t FROM documents)
@@ -97,9 +127,9 @@ def text_postings(spark, sf_dir):
 
 @register("text_snippet")
 def text_snippet(spark, sf_dir):
-    top = textsearch.search(table(spark, sf_dir, "documents"), "the AND and", "doc_id", {"text": 1.0})
+    top = textsearch.search(table(spark, sf_dir, "documents"), "the AND from", "doc_id", {"text": 1.0})
     # snippets for the winners only: the second scan is reduced to them first
-    return table(spark, sf_dir, "documents").join(F.broadcast(top), "doc_id").select("doc_id", "score", textsearch.snippet(F.col("text"), "the AND and").alias("snippet"))
+    return table(spark, sf_dir, "documents").join(F.broadcast(top), "doc_id").select("doc_id", "score", textsearch.snippet(F.col("text"), "the AND from").alias("snippet"))
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\s\x1c-\x1f]+'), lambda x: x <> '')"
@@ -186,9 +216,9 @@ def rrf_hybrid(spark, sf_dir):
 @register("hybrid_documents")
 def hybrid_documents(spark, sf_dir):
     """Text and offline-embedding searches of one query, both windows cut before the fusion."""
-    docs, query = table(spark, sf_dir, "documents"), "the AND and"
+    docs, query = table(spark, sf_dir, "documents"), "the AND from"
     text = textsearch.search(docs, query, "doc_id", {"text": 1.0}, limit=160)
-    toks = F.array(F.lit("the"), F.lit("and"))
+    toks = F.array(F.lit("the"), F.lit("from"))
     q = vector.hashed_embedding(toks)
     e = docs.select("doc_id", F.round(vector.cosine_distance(vector.hashed_embedding(tx.tokens(F.coalesce("text", F.lit("")))), q), 5).alias("distance"))
     semantic = e.orderBy(F.asc_nulls_last("distance"), "doc_id").limit(20)

@@ -31,7 +31,7 @@ def test_date_filters():
     assert filters.DateSet.last_year(dt.date(2024, 2, 29)).ranges == ((dt.date(2023, 2, 28), dt.date(2024, 2, 29)),)
 
 
-@pytest.mark.parametrize("bad", ["", "  ", '"open', "a AND OR b", "(a OR b", "the"])
+@pytest.mark.parametrize("bad", ["", "  ", '"open', "a AND OR b", "(a OR b", "the", "the OR not", "'the'"])
 def test_bad_queries(bad):
     with pytest.raises(textsearch.QueryError):
         textsearch.parse(bad)
@@ -58,11 +58,73 @@ def test_scalars(spark):
         tx.week_bucket(F.lit("2024-03-15").cast("date")).alias("d"), tx.strip_urls(F.lit("a [b](http://c) <http://d> https://e f")).alias("e"),
         tx.ids_in(F.lit("R5%2D1234567 and r5-7654321")).alias("f"), tx.newest(F.lit([1, 2, 3]), 2).alias("g"), tx.version_key(F.lit("17.x.2")).alias("h"),
     ).first()
-    assert r.a == "x R5-1234567 R5-1234567r2, R5-1234567 in 38_300-1"
-    assert (r.b, r.c, r.d, r.e) == ("Rel-20", "R99", "2024-03-W3", "a b f")
+    assert r.a == "x R5-1234567 R5-1234567r2, R5-1234567 R5-1234567 in 38_300-1"
+    assert (r.b, r.c, r.d, r.e) == ("Rel-20", "1999", "2024-03-W3", "a b f")
     assert sorted(r.f) == ["R5-1234567", "R5-7654321"] and r.g == [2, 3] and r.h == [17, 0, 2]
 
 
+#: Expected values of the normaliser's rule, as published with it.
+NORMALIZED = [
+    ("R5-1234567r2", "R5-1234567 R5-1234567r2"), ("R5-123456r1", "R5-123456 R5-123456r1"), ("RP-2200456r10", "RP-2200456 RP-2200456r10"), ("R5-1234567", "R5-1234567 R5-1234567"),
+    ("SP-2100123", "SP-2100123 SP-2100123"), ("r5-1234567R2", "R5-1234567 R5-1234567r2"), ("38.300", "38_300"), ("38.300-1", "38_300-1"), ("NB-IoT", "NB-IoT"), ("eNB/gNB", "eNB/gNB"), ("", ""),
+    ("abc123.45xyz", "abc123_45xyz"), ("1.2.3.4", "1_2.3_4"), ("38.300.42.1", "38_300.42_1"), ("1.2x3.4", "1_2x3_4"), ("1.2-3.4", "1_2-3.4"), ("1.² ٣.٤", "1.² ٣_٤"), ("١٢.٣٤-٥", "١٢_٣٤-٥"), ("123.x 456.", "123.x 456."),
+    ("0" * 50_000 + ".x 38.300-1 " + "0" * 50_000 + ".1", "0" * 50_000 + ".x 38_300-1 " + "0" * 50_000 + "_1"),
+]
+
+
+def test_normalize_ids(spark):
+    rows = spark.createDataFrame(NORMALIZED, "raw string, want string").select("want", tx.normalize_ids(F.col("raw")).alias("got")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    assert all(textsearch.normalize_query(raw) == want for raw, want in NORMALIZED)
+
+
+def test_queries_are_normalized():
+    assert textsearch.parse("R5-1234567r2") == textsearch.Phrase(("r5", "1234567", "r5", "1234567r2"))
+    assert textsearch.parse("'power saving' OR nb-iot") == textsearch.Op("OR", textsearch.Phrase(("power", "saving")), textsearch.Phrase(("nb", "iot")))
+    assert textsearch.parse("the quick") == textsearch.Phrase(("the", "quick")) and textsearch.parse("Ré") == textsearch.Phrase(("re",))
+
+
+def test_index_answers_as_the_scan(spark, tmp_path):
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(i, " ".join(rng.choices(["ab", "cd", "ef", "efg", "R5-1234567r2"], k=rng.randint(0, 12))), rng.choice(["ab", "cd x", None])) for i in range(40)], "id int, a string, b string")
+    index = textsearch.Index.build(rows, "id", ["a", "b"])
+    index.write(f"{tmp_path}/i")
+    index = textsearch.Index.read(spark, f"{tmp_path}/i", "id", ["a", "b"])
+    for query in ("ab cd", "ab AND cd", "ab OR (cd NOT ef)", "e* AND b:cd", "NEAR(ab ef, 2)", "^ab OR x*", "R5-1234567r2"):
+        want = textsearch.search(rows, query, "id", {"a": 2.0, "b": 5.0}, limit=100).collect()
+        assert index.search(query, {"a": 2.0, "b": 5.0}, limit=100).collect() == want, query
+    with pytest.raises(textsearch.IndexUnavailableError):
+        textsearch.Index.read(spark, f"{tmp_path}/none", "id", ["a"])
+
+
+def test_more_scalars(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    of = lambda f, *values: [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(f(F.col("v")).alias("x")).collect()]
+    assert of(tx.cover_release, "Release 17", "rel9", "Rel-17", "R99", None) == ["Rel-17", "Rel-9", "Rel-17", "R99", None]
+    assert of(tx.id_year, "R5-1234567", "RP-220045r1", "x") == [12, 22, None]
+    assert of(tx.group_code, "RAN WG1", "ct 3", "RP", "RAN AH1", "") == ["R1", "C3", "RP", None, None]
+    assert of(tx.list_group, "3gpp_tsg_ran_wg5_x", "3GPP_TSG_SA", "3GPP_TSG_CT_IETF", "OTHER") == ["R5", "SP", "CP", None]
+    assert of(tx.technology, "38.523-1", "36.579", "1.2", "") == ["5G", "MCX", "", ""]
+    assert of(tx.module_name, "ttcn\\a\\Foo.ttcn", "POS/NR5GC_Functions", "!!!") == ["Foo", "NR5GC_Functions", None]
+    assert of(tx.function_name, "f_NR_Do (NR)", "My_Type", "Random_Identifier") == ["f_NR_Do", "My_Type", None]
+    assert of(lambda c: tx.file_class(c, F.lit("R5-1234567"), F.lit("Inbox")), "draft R5-1234567 v2.docx", "R5-1234567r1.zip", "R5-1234567.zip", "R5-12345678.zip", "R5-1234567.pdf") == ["draft", "revision", None, None, None]
+    assert one(tx.file_class(F.lit("R5-1234567_MCC160Comment.doc"), F.lit("r5-1234567"), F.lit("Review"))) == "review"
+    keys = of(tx.section_key, "10", "9.2", "9.10", "A.1", "9.2a", "x y")
+    assert keys[-1] is None and sorted(keys[:5], key=lambda k: [tuple(x) for x in k]) == [keys[1], keys[4], keys[2], keys[0], keys[3]]
+    assert of(lambda c: tx.status_archive_key(c), "TTCN CR Agreement Status 2024-wk07_rev2.zip", "x.zip")[0] == (2024, 7, 2)
+    assert [tx.duration_seconds(x) for x in ("24h", "30m", "P1D", "PT1H30M", "1.5s")] == [86400, 1800, 86400, 5400, 1.5]
+    with pytest.raises(ValueError):
+        tx.duration_seconds("soon")
+    assert [one(tx.duration_text(F.lit(n))) for n in (42, 300, 9000, 7200, 108000, 259200)] == ["42s", "5m", "2h 30m", "2h", "1d 6h", "3d"]
+    dates = of(tx.mail_date, "Mon, 15 Jan 2024 10:30:00 +0100", "2024-01-15T10:30:00Z", "15 January 2024", "January 15, 2024", "2024-01-15", "15 Jan 2024 10:30", "nonsense")
+    assert [(d.local.isoformat(), d.utc.isoformat(), d.offset_seconds, d.precision) for d in dates[:2]] == [("2024-01-15T10:30:00", "2024-01-15T09:30:00", 3600, "datetime"), ("2024-01-15T10:30:00", "2024-01-15T10:30:00", 0, "datetime")]
+    assert [d.precision for d in dates[2:6]] == ["date", "date", "date", "datetime"] and all(d.local.day == 15 and d.offset_seconds is None for d in dates[2:6]) and dates[6] is None
+    changes = F.from_json(F.lit('[{"ttcn_module": "a/M.ttcn", "function_name": "f_x"}, {"ttcn_module": "B"}, {"function_name": "!"}]'), "array<struct<ttcn_module:string,function_name:string>>")
+    assert one(tx.changed_functions(changes)) == ["B.", "M.f_x"]
+    assert one(tx.strip_markdown(F.lit("# A **b** _c_ `d` [e](f)\n> g"))) == "A b c d e\ng"
+    assert one(tx.strip_urls(F.lit("see [x](http://a)\n\n www.a.org/b  and\tmore"))) == "see x\nand more"
+
+
 @pytest.mark.parametrize("n, size, overlap", [(0, 4, 1), (3, 4, 1), (4, 4, 1), (5, 4, 1), (7, 4, 1), (9, 3, 0)])
 def test_chunk_counts(spark, n, size, overlap):
     text = " ".join(f"w{i}" for i in range(n))
@@ -80,12 +142,38 @@ def test_chunk_counts(spark, n, size, overlap):
 
 
 def test_structural_chunks():
-    md = "# 5 Power\n\nOne two three. Four five six. Seven.\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |"
-    c = chunking.structural_chunks(chunking.blocks_of(md), most_words=6, overlap=1)
-    assert [x["text"] for x in c if not x["table"]] == ["One two three.", "three. Four five six. Seven."] or c[0]["sections"] == ["5"]
-    tables_ = [x["text"] for x in c if x["table"]]
-    assert all(t.startswith("| a | b |\n|---|---|") for t in tables_)
-    assert [line for t in tables_ for line in t.split("\n")[2:]] == ["| 1 | 2 |", "| 3 | 4 |"]
+    md = "# 5 Power\n\nOne two three. Four five six. Seven.\n\nTable 5-1: Values\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |"
+    c = chunking.structural_chunks(chunking.blocks_of(md), most_words=7, overlap=1)
+    assert c[0]["text"] == "# 5 Power\n\nOne two three." and c[0]["sections"] == ["5 Power"]
+    assert c[1]["text"] == "three.\n\nFour five six.\n\nSeven.\n\nTable 5-1: Values" and c[1]["tables"] == ["5-1 Values"]
+    assert c[2]["text"].endswith("| 3 | 4 |") and c[2]["tables"] == ["5-1 Values"]  # whole, although it has more words
+    small = chunking.structural_chunks(chunking.blocks_of(md), most_words=50, most_chars=36, overlap=0)
+    parts = [x["text"] for x in small if x["table"]]
+    assert parts == ["| a | b |\n|---|---|\n| 1 | 2 |", "| a | b |\n|---|---|\n| 3 | 4 |"]
+    blocks = chunking.Block
+    got = chunking.structural_chunks([blocks("heading", "# 1 Scope", "1", "Scope"), blocks("paragraph", "body")], 3, 1500, 0)
+    assert [x["text"] for x in got] == ["# 1 Scope", "body"]
+    got = chunking.structural_chunks([blocks("heading", "# 7.2A.3 Scope", "7.2A.3", "Scope"), blocks("paragraph", "alpha beta"), blocks("heading", "## 7.2A.3A Details", "7.2A.3A", "Details"), blocks("paragraph", "gamma")], 20, 1500, 0)
+    assert got[0]["sections"] == ["7.2A.3 Scope", "7.2A.3A Details"] and len(got) == 1
+    # a sentence over the ceilings is split between words, and joined to its overlap by a blank
+    long = chunking.structural_chunks([blocks("paragraph", " ".join(f"w{i}" for i in range(3000)))])
+    assert max(len(x["text"].split()) for x in long) <= 512 + 24 and max(len(x["text"]) for x in long) <= 1500 + 24 * 6
+    assert long[1]["text"].split()[:24] == long[0]["text"].split()[-24:] and "\n" not in long[1]["text"]
+    assert [w for i, x in enumerate(long) for w in x["text"].split()[24 if i else 0 :]] == [f"w{i}" for i in range(3000)]
+    with pytest.raises(ValueError):
+        chunking.structural_chunks([], 4, 10, 4)
+
+
+def test_quotes():
+    strip = web.unquoted
+    assert strip("hi\n> old\nOn Mon, Jan 1, 2024 at 10:00 A <a@b> wrote:\n> more") == "hi"
+    assert strip("hi\nOn Monday we wrote:\nprose stays") == "hi\nOn Monday we wrote:\nprose stays"
+    assert strip("hi\nfrom: here on it is prose\nend") == "hi\nfrom: here on it is prose\nend"
+    assert strip("hi\n\n\n\nFrom: a\nSent: b\nTo: c\nold") == "hi"
+    assert strip("hi\n**From:** a\n\n**Date:** b\n\n**Subject:** c\nold") == "hi"
+    assert strip("hi\n-----Original Message-----\nold") == strip("hi\nBegin forwarded message:\nold") == "hi"
+    assert strip("On Tue, 2 Jan 2024, A B\nC wrote:\n\n> x\nrest") == ""
+    assert strip(None) == ""
 
 
 def test_vectors(spark):
@@ -110,7 +198,6 @@ def test_web():
     html = '<table><tr><th>Meeting</th><th>Title</th><th>Town</th><th>Start</th><th>End</th></tr><tr><td><a href="/m">R5-1</a></td><td>T</td><td>Rome</td><td>2024-01-02</td><td>2024-01-05</td></tr><tr><td>R5-2</td><td>Cancelled</td><td></td><td>2024-01-02</td><td>2024-01-05</td></tr></table>'
     assert web.meetings_of(html) == [("R5-1", "T", "Rome", "2024-01-02", "2024-01-05")]
     assert web.markdown_of('<h2>A</h2><p>x <b>y</b> <a href="javascript:z()">q</a> <a href="/u">v</a></p>') == "## A\n\nx **y** q [v](/u)"
-    assert web.unquoted("hi\n> old\nOn Monday A wrote:\nmore") == "hi"
     assert web.directory_of("http://h/a", '<a href="b/">b</a><a href="/a/c.zip">c</a><a href="/x">x</a><a href="http://o/a/d">d</a>') == [("b", "http://h/a/b/", True), ("c.zip", "http://h/a/c.zip", False)]
 
 
