@@ -118,7 +118,8 @@ def draws(goal: DataFrame, all_slots: int, shard_slots: int = SHARD_SLOTS) -> Da
     drawn = each.select("shard", F.least(number, F.lit(all_slots - 1)).alias("v")).withColumn("cell", F.floor(F.col("v") / step).cast("bigint"))
     own = goal.where("n_slots > 0").select("source_no", "base", (F.col("base") + F.col("n_slots")).alias("top"))
     own = own.select("*", F.explode(F.sequence(F.floor(F.col("base") / step).cast("bigint"), F.floor((F.col("top") - 1) / step).cast("bigint"))).alias("cell_"))
-    hit = drawn.join(own, (F.col("cell") == F.col("cell_")) & (F.col("base") <= F.col("v")) & (F.col("v") < F.col("top")))
+    # (the planner takes what a range explodes to for small and would broadcast it; a merge join leaves both sides where they are)
+    hit = drawn.join(own.hint("merge"), (F.col("cell") == F.col("cell_")) & (F.col("base") <= F.col("v")) & (F.col("v") < F.col("top")))
     return hit.groupBy("shard", "source_no").agg(F.count("*").alias("drawn"))
 
 
