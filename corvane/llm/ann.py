@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for
+from .common import cut, parts_for
 
 K, PROJECTIONS, RATIO, BUDGET, SEED = 20, 80, 1.1, 0.2, 20_241
 BLOCK_ROWS, QUERY_ROWS = 16_384, 1_024
@@ -53,9 +53,11 @@ def directions(dims: int, projections: int, seed: int) -> np.ndarray:
 def search_block(
     base: np.ndarray, base_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, top_norm: float,
     k: int = K, projections: int = PROJECTIONS, ratio: float = RATIO, budget: float = BUDGET, seed: int = SEED,
+    base_rows: np.ndarray | None = None, query_rows: np.ndarray | None = None,
 ) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: ids and inner products of the best k of this block that were found, its own row left out."""
+    """For each query: places and inner products of the best k of this block that were found, its own row left out (told by row numbers; by ids where none are given)."""
     n, dims = base.shape
+    base_rows, query_rows = (base_ids, query_ids) if base_rows is None or query_rows is None else (base_rows, query_rows)
     a = directions(dims, projections, seed)
     p1 = _normal_within(HALF_WIDTH)
     threshold = max(1, int(projections * p1 - SLACK * np.sqrt(projections * p1 * (1 - p1))))
@@ -78,7 +80,7 @@ def search_block(
     for q in range(len(queries)):
         missed = None
         verified = np.zeros(n, bool)
-        verified[base_ids == query_ids[q]] = True
+        verified[base_rows == query_rows[q]] = True
         own = int(verified.sum())
         ids, scores, lo, hi = [], [], None, None
         for r in range(len(radii)):
@@ -144,32 +146,33 @@ def search(
         F.count("*").alias("n"), F.max(norm2).alias("m"), F.count_if(is_query).alias("q")
     )
     top = sizes.orderBy(F.desc("n"), "d").limit(1).collect()
-    schema = "query_id bigint, vec_id bigint, score double"
+    schema = "query_row bigint, query_id bigint, vec_id bigint, score double"
     if not top:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dims, top_norm = top[0]["d"], float(np.sqrt(top[0]["m"]))
     n_base, n_query = parts_for(top[0]["n"], block_rows), parts_for(top[0]["q"], query_rows)
-    v = v.where(F.size("v") == dims)
+    # ids may repeat: rows are told apart by numbers, which are fixed once
+    v = cut(v.where(F.size("v") == dims).withColumn("row", F.monotonically_increasing_id()))
     number = F.xxhash64(F.lit(seed), F.col("vec_id"))
     base = v.select(
-        F.pmod(number, F.lit(n_base)).alias("b"), _every(n_query).alias("q"), "vec_id", "v"
+        F.pmod(number, F.lit(n_base)).alias("b"), _every(n_query).alias("q"), "vec_id", "row", "v"
     )
     asked = v.where(is_query).select(
-        _every(n_base).alias("b"), F.pmod(number, F.lit(n_query)).alias("q"), "vec_id", "v"
+        _every(n_base).alias("b"), F.pmod(number, F.lit(n_query)).alias("q"), "vec_id", "row", "v"
     )
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         got = []
         if left.num_rows and right.num_rows:
             x, y = (t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims) for t in (left, right))
-            ids, asks = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-            for q, found, s in search_block(x, ids, y, asks, top_norm, k, projections, ratio, budget, seed):
-                got.append((np.full(len(found), asks[q]), ids[found], s))
-        parts = [np.concatenate(p) for p in zip(*got, strict=True)] if got else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table(parts, ["query_id", "vec_id", "score"])
+            ids, asks, rows, own = (t.column(c).to_numpy() for c, t in (("vec_id", left), ("vec_id", right), ("row", left), ("row", right)))
+            for q, found, s in search_block(x, ids, y, asks, top_norm, k, projections, ratio, budget, seed, rows, own):
+                got.append((np.full(len(found), own[q]), np.full(len(found), asks[q]), ids[found], s))
+        parts = [np.concatenate(p) for p in zip(*got, strict=True)] if got else [*[np.empty(0, np.int64)] * 3, np.empty(0)]
+        return pa.table(parts, ["query_row", "query_id", "vec_id", "score"])
 
     near = base.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(cell, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -84,6 +84,13 @@ def test_ann(spark):
     assert ann.search(e.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_ann_repeated_ids_and_ties(spark):
+    """Rows of one id are candidates of each other, each query row has its own neighbours, and equal scores go by vec_id."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), *[(i, [1.0, 0.0]) for i in range(1, 40)], (41, [0.5, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == sorted([(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)] * 2)
+
+
 def test_dart_minhash():
     rng = np.random.default_rng(3)
     x = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
@@ -113,6 +120,42 @@ def test_html():
     assert html.extract("a" * 200_000) == "a" * 200_000
 
 
+def test_best_run():
+    rng = random.Random(1)
+    for _ in range(300):
+        v = [rng.choice([-2, -1, -0.5, 0.5, 1, 3]) for _ in range(rng.randint(0, 12))]
+        a, z = html.best_run(v)
+        assert sum(v[a : z + 1]) == pytest.approx(max([sum(v[i : j + 1]) for i in range(len(v)) for j in range(i, len(v))] + [0]))
+
+
+def test_html_learns():
+    """A name that isn't known beforehand is learned as boilerplate, and the scan alone finds the content where nothing is marked."""
+    page = "<html><body><div class='zq'>{junk}</div><article><p>{text}</p></article><ul><li><a href='/'>a b c</a></li></ul></body></html>"
+    words = lambda n: " ".join(f"w{i}" for i in range(n))
+    pages = [page.format(junk=words(20), text=words(60 + k)) for k in range(20)]
+    seen = sum((html.counts(p) for p in pages), start=html.Counter())
+    weights = html.weights_of(seen)
+    assert "name:zq" not in html.PRIOR and weights["name:zq"] < html.BAD < 0
+    bare = pages[0].replace("article>", "div>")
+    assert html.extract(bare, weights) == words(60) and words(20) in html.extract(bare)  # unlike without what was learned
+    odd = "<p>" + words(30) + "</p>" + "<ul>" + "<li><a href='/'>menu</a></li>" * 20 + "</ul><p>x</p>"
+    assert html.extract(odd) == words(30)
+
+
+def test_html_without_marks(spark):
+    """Pages whose <article> and class names are taken away: the words found against those of the article."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    weights = html.weights_of(sum((html.counts(p) for p in pages), start=html.Counter()))
+    both = []
+    for p in pages:
+        want = html.Counter(html.extract(f"<article>{re.search('<article>(.*)</article>', p, re.S)[1]}</article>").split())
+        assert html.Counter(html.extract(p, weights).split()) == want
+        got = html.Counter(html.extract(re.sub(r' (class|id|role)="[^"]*"|</?article>', "", p), weights).split())
+        both.append(2 * (got & want).total() / (got.total() + want.total()))
+    print("F1 without marks", np.mean(both))
+    assert np.mean(both) >= 0.95
+
+
 def test_html_pages(spark):
     p = spark.read.parquet(f"{SF}/pages.parquet")
     more = spark.createDataFrame([(10**6, None, None), (10**6 + 1, "u", "")], "page_id bigint, url string, html string")
@@ -154,6 +197,109 @@ def test_mixing(odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_draws(spark):
+    """Counts per shard are multinomial draws; corrected, each source's slots are numbered 0..n_slots-1, each once; shards hold `shard_slots` each."""
+    goal = mixing.numbered(spark.createDataFrame([("a", 6400, 7000, 5000), ("b", 640, 7000, 1900), (None, 64, 7000, 100)], "source string, source_size bigint, n_blocks bigint, n_slots bigint"))
+    drawn = mixing.draws(goal, 7000, 512).groupBy("shard").pivot("source_no", [0, 1, 2]).sum("drawn").na.fill(0).collect()
+    assert sorted(sum(r[1:]) for r in drawn) == [7000 % 512, *[512] * 13]
+    whole = np.array([r[1:] for r in drawn if sum(r[1:]) == 512], float)
+    p = np.array([5000, 1900, 100]) / 7000
+    chi2 = ((whole - 512 * p) ** 2 / (512 * p)).sum()
+    assert 8 < chi2 < 55 and len({tuple(x) for x in whole}) > 6  # 26 degrees of freedom; not the same counts everywhere
+    runs = [r.asDict() for r in mixing.shard_counts(goal, 7000, 512).collect()]
+    for no, n in enumerate((5000, 1900, 100)):
+        assert sorted(k for r in runs if r["source_no"] == no for k in range(r["first"], r["first"] + r["n"])) == list(range(n))
+    per = {}
+    for r in runs:
+        per[r["shard"]] = per.get(r["shard"], 0) + r["n"]
+    assert per == {k: min(512, 7000 - 512 * k) for k in range(14)}
+
+
+def test_mixed_texts(odd, empty):
+    """What the mix takes, as texts: the same words as `taken` counts, under any column names."""
+    clash = odd.withColumnRenamed("cell", "turn").withColumnRenamed("content", "pieces").withColumnRenamed("rep", "times").dropDuplicates()
+    got = mixing.mixed_texts(clash, block_words=4)
+    assert got.columns == clash.columns
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    words: dict = {}
+    for r in got.collect():
+        words[r.doc_id] = words.get(r.doc_id, 0) + size(r.text)
+        assert r.n_chars == len(r.text) and r.turn == "x"
+    taken: dict = {}
+    for r in mixing.mix(clash, block_words=4).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    assert sum(words.values()) == sum(taken.values()) and all(n <= 3 * max(size(r.text) for r in clash.where(f"doc_id = {i}").collect()) for i, n in list(words.items())[:4])
+    assert sum(size(r.text) for r in mixing.mixed_texts(odd, block_words=4).collect()) == sum(words.values())  # a whole repeated row is one document
+    assert mixing.mixed_texts(empty).count() == 0
+
+
+def test_word_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    texts = ["", " ", "\x01 a\x01b", "Don't 12 a<|endoftext|>b  \n\n--x", "é\u0301 \u0301 İstanbul ΣΑΣ 中文 \U0001f600", "a\tb\r\nc \x7f \x00", *["I'll've 3.5%&&& Ünï"] * 3]
+    want = [e.ids + [2] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for tokenizer in (packing.WordTokenizer(path), packing.WordTokenizer(path, 1)):
+        ids, ends = tokenizer.ids(pa.array(texts), 2)
+        assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_shortest_pack_first():
+    rng = random.Random(5)
+    for _ in range(60):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 40))]
+        packs: list[list[int]] = []
+        for n in sorted(lengths, reverse=True):
+            shortest = min(packs, key=sum, default=None)
+            if shortest is not None and sum(shortest) + n <= 20:
+                shortest.append(n)
+            else:
+                packs.append([n])
+        got = [x for times, x in packing.patterns({n: lengths.count(n) for n in set(lengths)}, 20) for _ in range(times)]
+        assert sorted(map(sum, got)) == sorted(map(sum, packs)) and sorted(n for x in got for n in x) == sorted(lengths)
+
+
+def test_near_blocks():
+    """Links across components of two blocks, against all pairs."""
+    rng = np.random.default_rng(2)
+    base = np.sort(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = [np.sort(np.concatenate([base[rng.random(60) < 0.93], rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)])) for _ in range(40)]
+    own = rng.integers(0, 5, 40)
+    raw = [x.tobytes() for x in sets]
+    got = list(neardup._crossing(raw[:15], raw[15:], own[:15], own[15:], 0.8, "set"))
+    want = {(i, int(own[15 + j])) for i in range(15) for j in range(25) if own[i] != own[15 + j] and neardup.jaccard(sets[i], sets[15 + j]) >= 0.8}
+    assert {(i, int(own[15 + j])) for i, j in got} == want and len(got) == len(want) > 0
+    assert all(neardup.jaccard(sets[i], sets[15 + j]) >= 0.8 for i, j in got)
+
+
+def test_near_duplicates_of_a_hot_group(spark, monkeypatch):
+    """Copies of one text with ever more edits, in blocks of a few members; weights by count go another way and find the same."""
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 4)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base)), (1, " ".join(base))]
+    for i in range(2, 40):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(120)] = f"x{i}_{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = neardup.brute_force(rows)
+    assert {r.doc_id: r.class_id for r in neardup.groups(df).collect()} == want
+    assert {r.doc_id: r.class_id for r in neardup.groups(df, weighting="count").collect()} == want
+
+
+def test_recall_of_near_duplicates(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = neardup.brute_force(rows_of(docs))
+    got = {r.doc_id: r.class_id for r in neardup.groups(docs).collect()}
+    linked = [i for i in want if want[i] != i]
+    recall = sum(got[i] == want[i] for i in linked) / len(linked)
+    print("near-duplicate recall", recall, "of", len(linked))
+    assert recall >= 0.99 and all(got[i] == i for i in want if list(want.values()).count(want[i]) == 1)
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit("k"))).collect()]
