@@ -1,12 +1,18 @@
 """Approximate nearest neighbours by collision counting over query-centred windows.
 
 Every block of the base holds, for each of `projections` random directions, its vectors' projections
-in sorted order (built once per task, all rows indexed). A query cuts a window around its own
-projection out of every sorted array; a vector met in at least `threshold` of the arrays has collided
-often enough and is verified with its true inner product. If that doesn't end the search, virtual
-rehashing widens all windows by `ratio` and counts on: only the newly covered rings are read. A query
-ends in a block when its k-th best verified vector is nearer than the radius the windows stand for,
-or when `budget` of the block plus 10 k vectors have been verified, or when nothing is left.
+in sorted order (built once per task, all rows indexed). A query uses the `used` arrays in which its own
+projection is farthest from 0: a direction that is nearly perpendicular to the query puts near and far
+vectors into its window alike. From each it cuts a window around its projection; a vector met in enough
+of them has collided often enough and is verified with its true inner product. "Enough" follows from
+the query's projections: what a vector at the distance that the windows stand for is expected to reach,
+less `SLACK` standard deviations. If that doesn't end the search, virtual rehashing widens all windows by
+`ratio` and counts on: only the newly covered rings are read. A query ends in a block when its k-th best
+verified vector is nearer than the radius the windows stand for, or when `budget` of the block plus 10 k
+vectors have been verified, or when nothing is left.
+
+The first radius of a block is a little less than the median k-th distance of `STARTS` of its queries; it
+decides how many rounds there are, not what a round finds.
 
 Largest inner product is reduced to least distance the usual way: with M the largest norm, base
 vectors get one more component sqrt(M^2 - |x|^2) and queries are scaled to norm M with 0 there, which
@@ -25,7 +31,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import erf, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,76 +40,118 @@ from pyspark.sql import functions as F
 
 from .common import cut, parts_for
 
-K, PROJECTIONS, RATIO, BUDGET, SEED = 20, 80, 1.1, 0.2, 20_241
-BLOCK_ROWS, QUERY_ROWS = 16_384, 1_024
+K, PROJECTIONS, USED, RATIO, BUDGET, SEED = 20, 512, 128, 1.03, 0.2, 20_241
+BLOCK_ROWS, QUERY_ROWS = 16_384, 2_048
 #: Half a window at radius 1, and by how many standard deviations a neighbour at that radius may fall short.
-HALF_WIDTH, SLACK = 1.3, 1.3
+HALF_WIDTH, SLACK = 1.5, 1.0
+#: Queries of which a block's first radius is taken, and the least that it can be (of the largest norm).
+STARTS, LEAST_RADIUS = 64, 0.3
+_GRID = np.linspace(-8, 8, 4001)
+_NORMAL = np.array([0.5 * (1 + erf(t / sqrt(2))) for t in _GRID])
 
 
-def _normal_within(t: float) -> float:
-    from math import erf, sqrt
-
-    return erf(t / sqrt(2))
+def _normal_below(t: np.ndarray) -> np.ndarray:
+    return np.interp(t, _GRID, _NORMAL)
 
 
 def directions(dims: int, projections: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dims + 1, projections))
 
 
+def _index(base: np.ndarray, a: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each direction the places of the vectors in the order of their projections, and these."""
+    order, ranked = np.empty((a.shape[1], len(base)), np.int32), np.empty((a.shape[1], len(base)), np.float32)
+    for j in range(a.shape[1]):
+        at = (base @ a[:-1, j] + last * a[-1, j]).astype(np.float32)
+        order[j] = np.argsort(at, kind="stable")
+        ranked[j] = at[order[j]]
+    return order, ranked
+
+
+def _first_radius(base: np.ndarray, queries: np.ndarray, scale: np.ndarray, top_norm: float, k: int) -> float:
+    """0.9 of the median k-th distance of some queries, of the largest norm."""
+    some = np.unique(np.linspace(0, len(queries) - 1, min(STARTS, len(queries))).astype(int))
+    s = (queries[some] * scale[some, None]) @ base.T
+    kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)] / top_norm**2
+    return min(1.9, max(LEAST_RADIUS, 0.9 * float(np.median(np.sqrt(np.maximum(0, 2 - 2 * kth))))))
+
+
+def _thresholds(t: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """For each query, whose chosen projections are `t` (of a vector of norm 1), and each radius: the collisions that make a candidate.
+
+    A vector at distance R of the query has the cosine c = 1 - R^2 / 2; in a direction where the query's
+    projection is t its own lies normally about c t with variance 1 - c^2.
+    """
+    out = np.empty((len(t), len(radii)))
+    for r, radius in enumerate(radii):
+        c = 1 - radius**2 / 2
+        deviation, shift = np.sqrt(max(1e-12, 1 - c * c)), (1 - c) * t
+        p = _normal_below((HALF_WIDTH * radius + shift) / deviation) - _normal_below((shift - HALF_WIDTH * radius) / deviation)
+        out[:, r] = np.maximum(1, p.sum(1) - SLACK * np.sqrt((p * (1 - p)).sum(1)))
+    return out
+
+
 def search_block(
     base: np.ndarray, base_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, top_norm: float,
-    k: int = K, projections: int = PROJECTIONS, ratio: float = RATIO, budget: float = BUDGET, seed: int = SEED,
-    base_rows: np.ndarray | None = None, query_rows: np.ndarray | None = None,
+    k: int = K, projections: int = PROJECTIONS, used: int = USED, ratio: float = RATIO, budget: float = BUDGET, seed: int = SEED,
+    base_rows: np.ndarray | None = None, query_rows: np.ndarray | None = None, shares: list[float] | None = None,
 ) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: places and inner products of the best k of this block that were found, its own row left out (told by row numbers; by ids where none are given)."""
+    """For each query: places and inner products of the best k of this block that were found, its own row left out (told by row numbers; by ids where none are given).
+
+    To `shares` goes, for each query, the share of the block that was verified.
+    """
     n, dims = base.shape
     base_rows, query_rows = (base_ids, query_ids) if base_rows is None or query_rows is None else (base_rows, query_rows)
-    a = directions(dims, projections, seed)
-    p1 = _normal_within(HALF_WIDTH)
-    threshold = max(1, int(projections * p1 - SLACK * np.sqrt(projections * p1 * (1 - p1))))
+    a, used = directions(dims, projections, seed), min(used, projections)
     last = np.sqrt(np.maximum(top_norm**2 - (base * base).sum(1), 0))
-    at_base = base @ a[:-1] + last[:, None] * a[-1]
-    order = np.argsort(at_base, axis=0, kind="stable").astype(np.int32).T.copy()
-    ranked = np.sort(at_base, axis=0).T.copy()
+    order, ranked = _index(base, a, last)
     scale = top_norm / np.sqrt((queries * queries).sum(1))
     at_query = (queries * scale[:, None]) @ a[:-1]
-    # radii on the sphere of that norm; the last covers everything
-    radii = top_norm * 0.9 * ratio ** np.arange(64)
-    radii = np.append(radii[radii < 2 * top_norm], 2.0 * top_norm * 64)
-    edges = np.empty((2, len(radii), projections, len(queries)), np.int32)
+    chosen = np.argpartition(-np.abs(at_query), used - 1, axis=1)[:, :used]
+    # radii on the sphere of that norm; after them a last round covers everything
+    radii = _first_radius(base, queries, scale, top_norm, k) * ratio ** np.arange(200)
+    radii = radii[radii < 2]
+    threshold = _thresholds(np.abs(np.take_along_axis(at_query, chosen, 1)) / top_norm, radii)
+    edges = np.empty((2, len(queries), used, len(radii)), np.int32)
     for j in range(projections):
-        for r, radius in enumerate(radii):
-            edges[0, r, j] = np.searchsorted(ranked[j], at_query[:, j] - HALF_WIDTH * radius)
-            edges[1, r, j] = np.searchsorted(ranked[j], at_query[:, j] + HALF_WIDTH * radius, side="right")
-    edges[0, -1], edges[1, -1] = 0, n
+        asks, slot = np.nonzero(chosen == j)
+        for side, (sign, kind) in enumerate(((-1, "left"), (1, "right"))):
+            at = at_query[asks, j][:, None] + sign * HALF_WIDTH * top_norm * radii
+            edges[side, asks, slot] = np.searchsorted(ranked[j], at.astype(np.float32), side=kind)
     out, most = [], 10 * k + int(np.ceil(budget * n))
     for q in range(len(queries)):
-        missed = None
-        verified = np.zeros(n, bool)
-        verified[base_rows == query_rows[q]] = True
+        hits = np.zeros(n, np.int64)
+        verified = np.asarray(base_rows == query_rows[q])
         own = int(verified.sum())
-        ids, scores, lo, hi = [], [], None, None
-        for r in range(len(radii)):
-            new_lo, new_hi = edges[0, r, :, q], edges[1, r, :, q]
-            if missed is None:
-                outside = [order[j, : new_lo[j]] for j in range(projections)] + [order[j, new_hi[j] :] for j in range(projections)]
-                missed = np.bincount(np.concatenate(outside), minlength=n)
-            else:  # the windows grow: who is in a ring has one miss less
-                ring = [order[j, new_lo[j] : lo[j]] for j in range(projections)] + [order[j, hi[j] : new_hi[j]] for j in range(projections)]
-                missed -= np.bincount(np.concatenate(ring), minlength=n)
-            lo, hi = new_lo, new_hi
-            found = np.flatnonzero((missed <= projections - threshold) & ~verified)
+        arrays = order[chosen[q]]
+        ids, scores, lo, hi, total = [], [], None, None, 0
+        for r in range(len(radii) + 1):
+            if total + own >= n:
+                break
+            if r == len(radii):
+                found = np.flatnonzero(~verified)
+            else:
+                new_lo, new_hi = edges[0, q, :, r].tolist(), edges[1, q, :, r].tolist()
+                if lo is None:
+                    ring = [x[i:j] for x, i, j in zip(arrays, new_lo, new_hi, strict=True)]
+                else:  # the windows grow: only the rings are counted
+                    ring = [x[i:j] for x, i, j in zip(arrays, new_lo, lo, strict=True)] + [x[i:j] for x, i, j in zip(arrays, hi, new_hi, strict=True)]
+                hits += np.bincount(np.concatenate(ring), minlength=n)
+                lo, hi = new_lo, new_hi
+                found = np.flatnonzero((hits >= threshold[q, r]) & ~verified)
             if len(found):
                 verified[found] = True
                 ids.append(found)
                 scores.append(base[found] @ queries[q])
-            total = sum(map(len, ids))
-            if total + own >= n or total >= most:
+                total += len(found)
+            if total >= most:
                 break
-            if total >= k:
+            if total >= k and r < len(radii):
                 kth = np.partition(np.concatenate(scores), total - k)[total - k]
-                if np.sqrt(max(0.0, 2 * top_norm**2 - 2 * kth * scale[q])) <= radii[r]:
+                if np.sqrt(max(0.0, 2 * top_norm**2 - 2 * kth * scale[q])) <= radii[r] * top_norm:
                     break
+        if shares is not None:
+            shares.append(total / n)
         if ids:
             found, s = np.concatenate(ids), np.concatenate(scores)
             if len(found) > k:
@@ -131,7 +179,7 @@ def _every(n: int):
 def search(
     vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
     block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
-    projections: int = PROJECTIONS, ratio: float = RATIO, budget: float = BUDGET, seed: int = SEED,
+    projections: int = PROJECTIONS, used: int = USED, ratio: float = RATIO, budget: float = BUDGET, seed: int = SEED,
 ) -> DataFrame:
     """The k nearest found of every row for which `is_query` (a Column on `vec_id`) holds: query_id, rank, vec_id, score."""
     v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -166,7 +214,7 @@ def search(
         if left.num_rows and right.num_rows:
             x, y = (t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims) for t in (left, right))
             ids, asks, rows, own = (t.column(c).to_numpy() for c, t in (("vec_id", left), ("vec_id", right), ("row", left), ("row", right)))
-            for q, found, s in search_block(x, ids, y, asks, top_norm, k, projections, ratio, budget, seed, rows, own):
+            for q, found, s in search_block(x, ids, y, asks, top_norm, k, projections, used, ratio, budget, seed, rows, own):
                 got.append((np.full(len(found), own[q]), np.full(len(found), asks[q]), ids[found], s))
         parts = [np.concatenate(p) for p in zip(*got, strict=True)] if got else [*[np.empty(0, np.int64)] * 3, np.empty(0)]
         return pa.table(parts, ["query_row", "query_id", "vec_id", "score"])

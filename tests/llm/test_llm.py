@@ -91,6 +91,27 @@ def test_ann_repeated_ids_and_ties(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == sorted([(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)] * 2)
 
 
+@pytest.mark.parametrize(("sf", "most"), [("sf0.01", 0.2), ("sf0.1", 0.1)])
+def test_ann_recall_and_share(spark, sf, most):
+    """Recall against all rows, and the share of a block that the collision count leaves to be verified (20 of 500 and 2000 rows are asked for)."""
+    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, x = t.vec_id.to_numpy(), np.array(t.embedding.tolist(), float)
+    asked, shares = np.flatnonzero(ids % 20 == 0), []
+    got = ann.search_block(x, ids, x[asked], ids[asked], float(np.sqrt((x * x).sum(1).max())), shares=shares)
+    want = ann.brute_force(ids, x, ids[asked])
+    recall = np.mean([len(set(ids[found].tolist()) & set(want[int(ids[asked[q]])])) / ann.K for q, found, _ in got])
+    print(f"{sf}: recall {recall:.3f}, verified {np.mean(shares):.3f}")
+    assert len(got) == len(asked) and recall >= 0.9 and np.mean(shares) <= most
+
+
+def test_ann_finds_all_of_few(spark):
+    """Orthogonal and opposite vectors are found too where there are no others."""
+    x = np.vstack([np.eye(6), -np.eye(6), 1000 * np.eye(6)])
+    ids = np.arange(len(x))
+    for q, found, _ in ann.search_block(x, ids, x[:6], ids[:6], 1000.0):
+        assert sorted(found.tolist()) == [i for i in ids.tolist() if i != q]
+
+
 def test_dart_minhash():
     rng = np.random.default_rng(3)
     x = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
