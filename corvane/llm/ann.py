@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, parts_for
 
-K, PROJECTIONS, USED, RATIO, BUDGET, SEED = 20, 512, 128, 1.03, 0.2, 20_241
+K, PROJECTIONS, USED, RATIO, BUDGET, SEED = 20, 512, 72, 1.03, 0.2, 20_241
 BLOCK_ROWS, QUERY_ROWS = 16_384, 2_048
 #: Half a window at radius 1, and by how many standard deviations a neighbour at that radius may fall short.
-HALF_WIDTH, SLACK = 1.5, 1.0
+HALF_WIDTH, SLACK = 1.3, 0.9
 #: Queries of which a block's first radius is taken, and the least that it can be (of the largest norm).
 STARTS, LEAST_RADIUS = 64, 0.3
 _GRID = np.linspace(-8, 8, 4001)
@@ -63,7 +63,7 @@ def _index(base: np.ndarray, a: np.ndarray, last: np.ndarray) -> tuple[np.ndarra
     order, ranked = np.empty((a.shape[1], len(base)), np.int32), np.empty((a.shape[1], len(base)), np.float32)
     for j in range(a.shape[1]):
         at = (base @ a[:-1, j] + last * a[-1, j]).astype(np.float32)
-        order[j] = np.argsort(at, kind="stable")
+        order[j] = np.argsort(at)
         ranked[j] = at[order[j]]
     return order, ranked
 
