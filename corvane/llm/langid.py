@@ -194,105 +194,6 @@ def learn(documents: DataFrame, may_learn: Column, per_lang: int = PER_LANG) ->
     return fit([(at[bounds[i] : bounds[i + 1]].astype(np.int64), n[bounds[i] : bounds[i + 1]], langs[i]) for i in order], idf)
 
 
-def predict(self, text: str | None) -> tuple[str, float]:
-        at, n = term_counts(text or "")
-        if not len(at) or not self.langs:
-            return UNKNOWN, 0.0
-        z = self.logits(at, _tfidf(at, n, self.idf)) / self.temperature
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        k = int(p.argmax())
-        return self.langs[k], float(p[k])
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Model:
-    """FTRL-proximal with elastic net on (features, counts, language); every tenth row is held back for the temperature."""
-    langs = sorted({lang for *_, lang in rows})
-    k = len(langs)
-    number = {lang: i for i, lang in enumerate(langs)}
-    data = [(at, _tfidf(at, n, idf), number[lang]) for at, n, lang in rows if len(at)]
-    fitted, back = [d for i, d in enumerate(data) if i % 10], [d for i, d in enumerate(data) if not i % 10]
-    z, g2 = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
-
-    def weights_at(at):
-        zz = z[at]
-        return np.where(np.abs(zz) <= L1 * scale, 0.0, -(zz - np.sign(zz) * L1 * scale) / ((BETA + np.sqrt(g2[at])) / ALPHA + L2 * scale))
-
-    scale = max(1, len(fitted))
-    rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for i in rng.permutation(len(fitted)):
-            at, x, y = fitted[i]
-            at, x = np.append(at, FEATURES), np.append(x, 1.0)
-            w = weights_at(at)
-            s = x @ w
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y] -= 1
-            g = x[:, None] * p[None, :]
-            sigma = (np.sqrt(g2[at] + g * g) - np.sqrt(g2[at])) / ALPHA
-            z[at] += g - sigma * w
-            g2[at] += g * g
-    w = weights_at(np.arange(FEATURES + 1))
-    model = Model(langs, idf, w[:-1].astype(np.float32), w[-1])
-    back = back or fitted
-    if back and k > 1:
-        s = np.array([model.logits(at, x) for at, x, _ in back])
-        y = np.array([d[2] for d in back])
-
-        def loss(t):
-            v = s / t
-            v = v - v.max(1, keepdims=True)
-            return float((np.log(np.exp(v).sum(1)) - v[np.arange(len(y)), y]).mean())
-
-        grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
-        model.temperature = float(grid[int(np.argmin([loss(t) for t in grid]))])
-    return model
-
-
-def learn(documents: DataFrame, may_learn: Column, per_lang: int = PER_LANG) -> Model:
-    """A model from the rows with a non-null lang for which `may_learn` (a Column on doc_id) holds; uses doc_id only to choose the sample."""
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    docs = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(FEATURES + 1, np.int64), 0
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                df[term_counts(text)[0]] += 1
-                df[FEATURES] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], ["feature", "df"])
-
-    df = np.zeros(FEATURES + 1)
-    for r in docs.select("text").mapInArrow(frequencies, "feature int, df bigint").groupBy("feature").agg(F.sum("df").alias("df")).toArrow().to_batches():
-        df[r.column("feature").to_numpy()] = r.column("df").to_numpy()
-    idf = np.log((1 + df[FEATURES]) / (1 + df[:FEATURES])) + 1
-
-    # the least hashes of each language; a threshold from its count leaves about four times as many as are taken, so that no task sees a whole language
-    counts = docs.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids"))
-    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    near = docs.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(place < 4.0 * per_lang / F.col("ids")).select("doc_id", "lang").distinct()
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("doc_id").distinct()
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [term_counts(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), pa.array([a.astype(np.int32) for a, _ in both], pa.list_(pa.int32())), pa.array([n for _, n in both], pa.list_(pa.float64()))],
-                ["doc_id", "lang", "at", "n"],
-            )
-
-    kind = dict(docs.dtypes)["doc_id"]
-    sample = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text")
-    got = sample.mapInArrow(features, f"doc_id {kind}, lang string, at array<int>, n array<double>").dropDuplicates(["doc_id", "lang"]).toArrow()
-    rows = sorted(
-        zip(got.column("doc_id").to_pylist(), got.column("lang").to_pylist(), got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True), key=lambda r: (r[1], hash(r[0]), r[0])
-    )
-    return fit([(np.array(at, np.int64), np.array(n), lang) for _, lang, at, n in rows], idf)
-
-
 def predict(documents: DataFrame, model: Model, text_col: str = "text", **names: str) -> DataFrame:
     """`documents` with two more columns: the language and its calibrated probability (named `lang_pred` and `score` unless given)."""
     pred, score = names.get("pred", "lang_pred"), names.get("score", "score")
