@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,3 +34,10 @@ def cut(df: DataFrame) -> DataFrame:
 def parts_for(rows_or_bytes: int, each: int, least: int = 1) -> int:
     """So many partitions that each holds about `each`; grows in proportion, without a cap."""
     return max(least, -(-int(rows_or_bytes) // each))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches (views, not copies), so that a worker holds Python objects of few rows at once."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(start, rows)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 FEATURES, PER_LANG, EPOCHS = 1 << 15, 500, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 UNKNOWN = "und"
@@ -152,7 +154,7 @@ def learn(documents: DataFrame, may_learn: Column, per_lang: int = PER_LANG) ->
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FEATURES + 1, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 df[term_counts(text)[0]] += 1
                 df[FEATURES] += 1
@@ -172,7 +174,7 @@ def learn(documents: DataFrame, may_learn: Column, per_lang: int = PER_LANG) ->
     chosen = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_lang).select("doc_id").distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             both = [term_counts(text) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("lang"), pa.array([a.astype(np.int32) for a, _ in both], pa.list_(pa.int32())), pa.array([n for _, n in both], pa.list_(pa.float64()))],
@@ -201,7 +203,7 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text", **names:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [shared.value.predict(text) for text in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], [*batch.schema.names, pred, score]

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 32, 6, 7
 #: Members that share one copy of a lead's shingles; members and shingles of one block.
@@ -237,7 +237,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _signer(words: int, bands: int, rows: int, weighting: str, seed: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             ids, out = batch.column("doc_id").to_pylist(), []
             sets = [shingler.weighted(text or "") if weighting == "count" else (shingler.set(text or ""), None) for text in batch.column("text").to_pylist()]
             signed = signatures(sets, bands * rows, seed)
@@ -255,7 +255,7 @@ def _signer(words: int, bands: int, rows: int, weighting: str, seed: int):
 def _setter(words: int, weighting: str):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 x, w = shingler.weighted(text or "") if weighting == "count" else (shingler.set(text or ""), None)
@@ -281,7 +281,7 @@ def _verifier(weighting: str):
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for a, b, x in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles"), strict=True):
                 if b is None:
