@@ -10,7 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Most bytes of one Arrow batch between a JVM and its Python workers.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table. Arrow batches of the session are bounded in bytes from here on: both sides hold several copies of one, and texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
