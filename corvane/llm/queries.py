@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, html, langid, mixing, neardup, ogg, packing, quality, suffix
+from . import ann, chat, divergence, html, langid, mixing, neardup, ogg, packing, quality, repetition, suffix, trie
 from .common import table
 
 #: The tokenizer file of op6, by its name in the folder of public tokenizers.
@@ -63,12 +63,25 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judged(table(spark, sf_dir, "documents")).drop("spans", "n_repeats", "longest_repeat")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_chat_format, op2_ann_search, op3_near_duplicates, op4_html_extract, op5_mix_sources,
             op6_pack_sequences, op7_suffix_dedup, op8_language_id, op9_ogg_media, op10_quality_scores,
+            op11_prefix_trie, op12_repetition_rules, op13_source_divergence,
         )
     }
 
@@ -110,5 +123,89 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_
 """
 
 
+#: op11: every prefix of every rebuilt conversation, named by the digests of its turns; subtrees by the starts of names.
+_OP11 = """
+WITH RECURSIVE t AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(md5(length(role) || ':' || role || ':' || text) ORDER BY turn NULLS FIRST, role, text) AS ids,
+         list(length(text) ORDER BY turn NULLS FIRST, role, text) AS lens
+  FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS v FROM own
+  UNION ALL
+  SELECT conv_id, s, i + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END
+  FROM (SELECT *, CASE WHEN i % 8 = 0 THEN xor(v, ascii(substr(s, i // 8 + 1, 1))) ELSE v END AS x FROM crc WHERE i < 8 * length(s))),
+h AS (SELECT conv_id, xor(v, 4294967295) % 6 AS h FROM crc WHERE i = 8 * length(s)),
+r AS (
+  SELECT own.conv_id, list_concat(coalesce(b.ids[1:h], []), own.ids[h + 1:]) AS ids, list_concat(coalesce(b.lens[1:h], []), own.lens[h + 1:]) AS lens
+  FROM own JOIN h USING (conv_id) LEFT JOIN own b ON b.conv_id = own.conv_id - own.conv_id % 100),
+p AS (SELECT conv_id, ids, lens, unnest(range(0, len(ids) + 1)) AS d FROM r),
+n AS (
+  SELECT d, array_to_string(ids[1:d], '') AS name, min(conv_id) AS conv_id, count(*) AS n_convs, max(CASE WHEN d = 0 THEN 0 ELSE lens[d] END) AS len,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(ids) = d), '')) AS ends_sha256
+  FROM p GROUP BY ALL),
+k AS (SELECT a.name, count(b.name) AS n_children FROM n a LEFT JOIN n b ON b.d = a.d + 1 AND starts_with(b.name, a.name) GROUP BY a.name),
+s AS (
+  SELECT a.name, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.len) AS saved_tokens
+  FROM n a JOIN n b ON b.d >= a.d AND starts_with(b.name, a.name) JOIN k ON k.name = b.name GROUP BY a.name)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, k.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN k USING (name) JOIN s USING (name) LEFT JOIN n up ON up.d = n.d - 1 AND up.name = n.name[1:(n.d - 1) * 32]
+"""
+
+#: op12: windows of 3 and 8 words, and of one more than the longest repeat may have, that stand more than once in a text.
+_OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+sizes AS (SELECT unnest([{repetition.WINDOW}, {repetition.LEAST_WORDS}, {repetition.MOST_LENGTH + 1}]) AS k),
+win AS (
+  SELECT r, k, p, md5(array_to_string(w[p:p + k - 1], ' ')) AS name
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes WHERE len(w) >= k)),
+again AS (SELECT r, k, p FROM (SELECT r, k, p, count(*) OVER (PARTITION BY r, k, name) AS n FROM win) WHERE n > 1),
+-- a window covers what the one before it in the text doesn't
+cov AS (SELECT r, k, CAST(sum(least(k, coalesce(gap, k))) AS BIGINT) AS n FROM (SELECT r, k, p - lag(p) OVER (PARTITION BY r, k ORDER BY p) AS gap FROM again) GROUP BY r, k),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+         coalesce(three.n, 0) AS n_repeat_words, coalesce(eight.n, 0) AS covered_words, long.n IS NOT NULL AS too_long
+  FROM d LEFT JOIN dup ON dup.r = d.r LEFT JOIN cov three ON three.r = d.r AND three.k = {repetition.WINDOW}
+  LEFT JOIN cov eight ON eight.r = d.r AND eight.k = {repetition.LEAST_WORDS} LEFT JOIN cov long ON long.r = d.r AND long.k = {repetition.MOST_LENGTH + 1})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed,
+       NOT base_failed AND NOT too_long AND 100 * covered_words <= {repetition.MOST_COVERED} * n_words AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+"""
+
+#: op13: every kept term for every source, and every pair of sources term by term.
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(n) AS n FROM k GROUP BY lang),
+f AS (
+  SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n, k.n AS kn
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, sum(n) AS n FROM f GROUP BY ALL),
+p AS (
+  SELECT f.lang, f.source, f.term, f.n, 1 + 1000000000 * (f.n + 2) // (s.n + 2 * l.v) AS p, 1 + 1000000000 * (f.kn + 2) // (l.n + 2 * l.v) AS q
+  FROM f JOIN s ON s.lang = f.lang AND s.source = f.source JOIN l ON l.lang = f.lang),
+w AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(w.value, 0) AS value
+  FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN w ON w.lang = g.lang AND w.source = g.source AND w.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _OP1, "op7_suffix_dedup": _OP7}
+    return {"op1_chat_format": _OP1, "op7_suffix_dedup": _OP7, "op11_prefix_trie": _OP11, "op12_repetition_rules": _OP12, "op13_source_divergence": _OP13}
