@@ -127,20 +127,6 @@ def cover(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _occurrences(order: np.ndarray, left: np.ndarray, right: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which a repeat starts, each with the length of its longest there. Intervals nest: the shortest go first, so that the longest stay."""
-    longest = np.zeros(n, np.int64)
-    rise = np.zeros(n + 1, np.int64)
-    for value in np.unique(length):
-        of = length == value
-        rise[:] = 0
-        np.add.at(rise, left[of], 1)
-        np.add.at(rise, right[of] + 1, -1)
-        longest[np.cumsum(rise[:-1]) > 0] = value
-    at = np.flatnonzero(longest)
-    return order[at], longest[at]
-
-
 _OUT = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
     ("covered_words", pa.int64()), ("longest_repeat", pa.int64()), ("n_repeats", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
@@ -170,15 +156,16 @@ def measured(batch: pa.RecordBatch, least: int = LEAST_WORDS) -> pa.RecordBatch:
 
     order, levels = suffix_array(words, row)
     shared = common_prefixes(order, row, levels)
-    least_shared = np.maximum(np.r_[0, shared], np.r_[shared, 0]) if len(order) else np.empty(0, np.int64)
-    again = order[least_shared >= WINDOW]
+    neighbour = np.maximum(np.r_[0, shared], np.r_[shared, 0]) if len(order) else np.empty(0, np.int64)
+    again = order[neighbour >= WINDOW]
     repeated = cover(len(words), again, np.full(len(again), WINDOW))
     before = np.r_[-1, words[:-1]] if len(words) else words
     at_start = first[:-1][n_words > 0]
     before[at_start] = -1 - np.arange(len(at_start))
     left, right, length = maximal_repeats(order, shared, before, least)
-    starts, lengths = _occurrences(order, left, right, length, len(order))
-    covered = cover(len(words), starts, lengths)
+    # the longest repeat that starts somewhere has the longer of the prefixes shared with both neighbours; if it isn't maximal, a maximal one covers it
+    counts = neighbour >= least
+    covered = cover(len(words), order[counts], neighbour[counts])
     longest, repeats = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if len(left):
         of = row[order[left]]
