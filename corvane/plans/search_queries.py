@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..operators import chunking, textsearch, vector
 from ..session import table
 from .registry import register
+from .stored import stored_index
 
 _TOK = r"list_filter(string_split_regex(strip_accents(lower(coalesce({c}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -39,8 +40,8 @@ def text_bm25_topk(spark, sf_dir):
 
 @register("text_index_topk", _bm25(["the", "from"]))
 def text_index_topk(spark, sf_dir):
-    """The same search on a positional index: only postings of the query's terms are evaluated."""
-    return textsearch.Index.build(table(spark, sf_dir, "documents"), "doc_id", ["text"]).search("the AND from", {"text": 1.0})
+    """The same search on the stored index of this state of the table: only the folders of the query's terms are read."""
+    return stored_index(spark, sf_dir).search("the AND from", {"text": 1.0})
 
 
 def _messages(spark, sf_dir):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,20 @@ def build_session(app: str = "corvane", master: str | None = None, partitions: i
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path is resolved by Spark, so any store Spark can read will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share, as spark.checkpoint.dir names it. Only a session within one process may leave it unset; it gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="corvane-shared-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, eagerly, and its lineage cut."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
