@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, let
+from .sweep import running_sums
 
 
 def words(text: Column) -> Column:
@@ -43,9 +44,9 @@ def chunk_table(rows: DataFrame, key: str, text: str, size: int = 512, overlap:
 
 
 def capped(counts: DataFrame, parent: str, order: list[str], n: str, cap: int) -> DataFrame:
-    """How many of each child's n chunks stay under the parent's cap, children in order."""
-    before = F.coalesce(F.sum(n).over(Window.partitionBy(parent).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("kept", F.greatest(F.lit(0), F.least(F.col(n), F.lit(cap) - before)).cast("int"))
+    """How many of each child's n chunks stay under the parent's cap, children in order. A parent's children may lie in many tasks."""
+    summed = running_sums(counts.withColumn("upto_", F.col(n)).withColumn("order_", F.struct(*order)), [parent], "order_", ["upto_"])
+    return summed.withColumn("kept", F.greatest(F.lit(0), F.least(F.col(n), F.lit(cap) - (F.col("upto_") - F.col(n)))).cast("int")).drop("upto_", "order_")
 
 
 @dataclass

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +71,61 @@ def maintenance(text: bool = False, embeddings: bool = False, both: bool = False
 def each_or_error(rows: DataFrame, value: Column, valid: Column) -> DataFrame:
     """rows, `value` and `error`: a row that isn't valid keeps a null value and says so, and fails nothing else."""
     return rows.withColumn("error", F.when(F.coalesce(valid, F.lit(False)), F.lit(None).cast("string")).otherwise("invalid")).withColumn("value", F.when(F.col("error").isNull(), value))
+
+
+@dataclass(frozen=True)
+class Derived:
+    """A table that is made from others, with what it should hold and what it holds.
+
+    `planned` and `held` have key and fingerprint, and may have metadata (what was copied beside the content); `planned` may have
+    day. `parents` names tables of the graph with the rows (parent_key, key) that tell what a row is made from. Rows of the
+    snapshot's day and later are made anew, as a day may have gone on after the snapshot.
+    """
+
+    name: str
+    planned: DataFrame
+    held: DataFrame
+    parents: tuple[tuple[str, DataFrame], ...] = ()
+    snapshot: str | None = None
+
+
+#: Why a row is stale, the weightiest first.
+REASONS = ("missing", "orphan", "changed", "metadata", "same day", "upstream")
+
+
+def _full(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c).alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names])
+
+
+def freshness_graph(tables: list[Derived]) -> DataFrame:
+    """table, key, reason, level of every stale row. A row made from a stale one is stale itself, level by level; parents come before their children in the list."""
+    found: dict[str, tuple[int, DataFrame]] = {}
+    for t in tables:
+        unknown = [p for p, _ in t.parents if p not in found]
+        if unknown:
+            raise ValueError(f"{t.name} comes before {', '.join(unknown)}")
+        names = ["key", "fingerprint", "metadata"]
+        planned = _full(t.planned, [*names, "day"]).select(F.col("key"), *[F.col(c).alias(f"p_{c}") for c in (*names[1:], "day")], F.lit(True).alias("p_"))
+        held = _full(t.held, names).select(F.col("key"), *[F.col(c).alias(f"h_{c}") for c in names[1:]], F.lit(True).alias("h_"))
+        both = planned.join(held, "key", "full_outer")
+        said = [F.when(F.col("h_").isNull(), "missing"), F.when(F.col("p_").isNull(), "orphan"), F.when(~F.col("p_fingerprint").eqNullSafe(F.col("h_fingerprint")), "changed")]
+        said += [F.when(~F.col("p_metadata").eqNullSafe(F.col("h_metadata")), "metadata")]
+        if t.snapshot is not None:
+            said += [F.when(F.col("p_day") >= F.lit(t.snapshot), "same day")]
+        own = both.select("key", F.coalesce(*said).alias("reason"))
+        level = 0
+        if t.parents:
+            level = 1 + max(found[p][0] for p, _ in t.parents)
+            above = reduce(DataFrame.unionByName, [made.join(found[p][1].select(F.col("key").alias("parent_key")), "parent_key", "left_semi").select("key") for p, made in t.parents])
+            own = own.join(above.distinct().withColumn("up_", F.lit(True)), "key", "left")
+            own = own.select("key", F.coalesce("reason", F.when(F.col("up_"), "upstream")).alias("reason"))
+        found[t.name] = (level, own.where("reason IS NOT NULL"))
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("table"), F.col("key").cast("string").alias("key"), "reason", F.lit(level).alias("level")) for name, (level, rows) in found.items()])
+
+
+def stale_hint(stale_rows: DataFrame, tables: list[str]) -> DataFrame:
+    """table, n_stale, hint: whether a search of each table should say that it may miss something."""
+    n = stale_rows.groupBy("table").agg(F.count("*").alias("n"))
+    every = reduce(DataFrame.unionByName, [stale_rows.sparkSession.range(1).select(F.lit(t).alias("table")) for t in tables])
+    counted = every.join(n, "table", "left").select("table", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_stale"))
+    return counted.withColumn("hint", F.when(F.col("n_stale") > 0, F.concat(F.col("table"), F.lit(": "), F.col("n_stale").cast("string"), F.lit(" stale rows"))))

@@ -107,7 +107,7 @@ def bracket_join(rows: DataFrame, brackets: DataFrame, prefix: str, number: str,
     """Each row with every bracket of labels that its (prefix, number) lies in; an absent end is open.
 
     Closed brackets meet the rows by equality on (prefix, bucket), once in each bucket of `width` numbers they
-    reach into. Open ones have no last bucket: they are few, are sent to all tasks and compared by their start.
+    reach into. Open ones have no last bucket: they meet the rows of their prefix.
     """
     low, high = label_number(F.col(start), digits), label_number(F.col(end), digits)
     same = F.col(prefix) == F.substring(start, 1, digits)
@@ -115,14 +115,26 @@ def bracket_join(rows: DataFrame, brackets: DataFrame, prefix: str, number: str,
     buckets = F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
     closed = brackets.where(low <= high).withColumn("_reach", buckets)
     met = rows.withColumn("_bucket", F.floor(F.col(number) / width)).join(closed, same & (F.col("_bucket") == F.col("_reach")))
-    onward = rows.join(F.broadcast(brackets.where(F.col(end).isNull())), same & (F.col(number) >= low))
+    onward = rows.join(brackets.where(F.col(end).isNull()), same & (F.col(number) >= low))
     return met.where(inside).drop("_bucket", "_reach").unionByName(onward.where(inside))
 
 
 def like_members(rows: DataFrame, key: str, column: str, patterns: DataFrame, pattern: str) -> DataFrame:
     """key, pattern where the comma-wrapped list is LIKE `%,pattern,%`, any case: wildcards in a pattern count, members aren't trimmed.
 
-    A theta join for pattern tables that are small by nature; `list_members` with an equality join is the scalable form.
+    A pattern and a list meet by equality on three letters that the pattern must have, and are then compared. Patterns without
+    three letters between wildcards meet every list. `key` is unique.
     """
-    held = F.expr(f"concat(',', {column}, ',') ilike concat('%,', replace({pattern}, '\\\\', '\\\\\\\\'), ',%')")
-    return rows.select(key, column).join(F.broadcast(patterns.select(pattern).distinct()), held).select(key, pattern)
+    wrapped = F.lower(F.concat(F.lit(","), F.col(column), F.lit(",")))
+    asked = patterns.select(F.col(pattern)).where(F.col(pattern).isNotNull()).distinct()
+    runs = F.split(F.lower(F.concat(F.lit(","), F.col(pattern), F.lit(","))), "[%_]+")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))
+    # of the longest run the last letters, which tell more than the comma before it
+    gram = F.when(longest["n"] >= 3, F.right(longest["r"], F.lit(3))).otherwise("")
+    text = rows.select(key, wrapped.alias("text_")).where("text_ IS NOT NULL")
+    grams = F.transform(F.sequence(F.lit(1), F.length("text_") - 2), lambda i: F.substring(F.col("text_"), i, 3))
+    grams = F.when(F.length("text_") >= 3, grams).otherwise(F.array().cast("array<string>"))
+    parts = text.select(key, F.explode(F.array_distinct(F.concat(grams, F.array(F.lit(""))))).alias("gram_"))
+    met = parts.join(asked.withColumn("gram_", gram), "gram_").select(key, pattern)
+    held = F.expr(f"text_ LIKE lower(concat('%,', replace({pattern}, '\\\\', '\\\\\\\\'), ',%'))")
+    return met.join(text, key).where(held).select(key, pattern)

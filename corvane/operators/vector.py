@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..session import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -66,5 +67,37 @@ def fuse(text: DataFrame, semantic: DataFrame, key: str, weight: float = 0.5, k:
     """Reciprocal-rank fusion of two ranked lists (key, rank from 0): key, score; what is in one list only counts there only."""
     a, b = text.select(key, F.col("rank").alias("ra")), semantic.select(key, F.col("rank").alias("rb"))
     both = a.join(b, key, "full_outer")
-    part = lambda w, r: F.coalesce(F.lit(w) / (F.lit(float(k)) + r + 1), F.lit(0.0))
+    part = lambda w, r: F.coalesce(F.lit(w) / (F.lit(float(k)) + r), F.lit(0.0))
     return both.select(key, F.round(part(weight, F.col("ra")) + part(1 - weight, F.col("rb")), digits).alias("score")).orderBy(F.desc("score"), key)
+
+
+#: The most rows that one window asks for.
+MOST_ROWS = 4096
+
+
+def widening(scored: DataFrame, parent: str, key: str, k: int, passes: Column | None = None, fanout: int = 8, most: int = MOST_ROWS) -> tuple[DataFrame, list[int]]:
+    """Rows (parent, key, distance, place) of the first window that holds k distinct parents which pass, and how many rows each window had.
+
+    For filters that can't go before the limit: windows of k * fanout nearest rows, doubled up to `most`, until
+    enough parents pass or the rows end. Distances are computed once; of each parent only its first place tells
+    how far the windows have to reach.
+    """
+    # at most `most` rows from here on
+    window = scored.select(parent, key, "distance", (passes if passes is not None else F.lit(True)).alias("passes")).orderBy(F.asc_nulls_last("distance"), key).limit(most)
+    window = cut(window.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("distance"), key))))
+    kept = window.where("passes").drop("passes")
+    first = kept.groupBy(parent).agg(F.min("place").alias("place")).orderBy("place").limit(k)
+    reach = first.agg(F.count("*").alias("n"), F.max("place").alias("place")).first()
+    rows, sizes = window.count(), []
+    fetch = min(max(k * fanout, k), most)
+    while True:
+        sizes.append(min(fetch, rows))
+        if reach.n >= k and reach.place <= fetch or rows < fetch or fetch >= most:
+            return kept.where(F.col("place") <= fetch), sizes
+        fetch = min(fetch * 2, most)
+
+
+def grouped(rows: DataFrame, parent: str, key: str) -> DataFrame:
+    """parent, rank (from 0), distance and the nearest child of each parent in a window."""
+    best = rows.groupBy(parent).agg(F.min(F.struct("place", "distance", key)).alias("b"))
+    return best.select(parent, (F.row_number().over(Window.orderBy("b.place")) - 1).alias("rank"), "b.distance", f"b.{key}")  # a window's rows

@@ -140,7 +140,7 @@ def verified_chunks(spark, sf_dir):
 
 @register("fuse_messages", f"""WITH t AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 8 GROUP BY 1), a AS (SELECT label, row_number() OVER (ORDER BY n DESC, label) - 1 AS r FROM t),
 s AS (SELECT label, min({_DIST}) AS d FROM embeddings WHERE label > 1 GROUP BY 1), b AS (SELECT label, row_number() OVER (ORDER BY d, label) - 1 AS r FROM s)
-SELECT * FROM (SELECT coalesce(a.label, b.label) AS label, round(coalesce(0.5 / (61.0 + a.r), 0) + coalesce(0.5 / (61.0 + b.r), 0), 8) AS score FROM a FULL JOIN b ON a.label = b.label) ORDER BY score DESC, label % 3 DESC, label LIMIT 6""")
+SELECT * FROM (SELECT coalesce(a.label, b.label) AS label, round(coalesce(0.5 / (60.0 + a.r), 0) + coalesce(0.5 / (60.0 + b.r), 0), 8) AS score FROM a FULL JOIN b ON a.label = b.label) ORDER BY score DESC, label % 3 DESC, label LIMIT 6""")
 def fuse_messages(spark, sf_dir):
     """Fusion of messages: ties by a time, newest first, then by key."""
     d = _distances(spark, sf_dir)

@@ -206,7 +206,7 @@ _RRF_A = "SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS
 _RRF_B = f"SELECT label, row_number() OVER (ORDER BY min({_DIST}), label) - 1 AS rb FROM embeddings WHERE label > 1 GROUP BY label"
 
 
-@register("rrf_hybrid", f"SELECT coalesce(a.label, b.label) AS label, round(coalesce(0.6 / (61.0 + ra), 0) + coalesce(0.4 / (61.0 + rb), 0), 8) AS score FROM ({_RRF_A}) a FULL JOIN ({_RRF_B}) b ON a.label = b.label")
+@register("rrf_hybrid", f"SELECT coalesce(a.label, b.label) AS label, round(coalesce(0.6 / (60.0 + ra), 0) + coalesce(0.4 / (60.0 + rb), 0), 8) AS score FROM ({_RRF_A}) a FULL JOIN ({_RRF_B}) b ON a.label = b.label")
 def rrf_hybrid(spark, sf_dir):
     s = _scored(spark, sf_dir)
     a = vector.ranked(s.where("label < 8").groupBy("label").agg(F.count("*").alias("n")), [F.desc("n"), "label"])

@@ -182,7 +182,7 @@ def test_vectors(spark):
     a = spark.createDataFrame([(1, 0), (2, 1)], "id int, rank int")
     b = spark.createDataFrame([(2, 0), (3, 1)], "id int, rank int")
     got = [(r.id, r.score) for r in vector.fuse(a, b, "id").collect()]
-    assert got[0][0] == 2 and got[0][1] == pytest.approx(0.5 / 62 + 0.5 / 61, abs=1e-8)
+    assert got[0][0] == 2 and got[0][1] == pytest.approx(0.5 / 61 + 0.5 / 60, abs=1e-8)
     assert vector.fuse(a.limit(0), b, "id").count() == 2
 
 
