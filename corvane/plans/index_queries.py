@@ -203,10 +203,10 @@ def filter_words_absent(spark, sf_dir):
     return table(spark, sf_dir, "customer").where(filters.rich(F.col("c_name"), "") & filters.date_filter(F.col("c_name"), "") & filters.upper_exact(F.col("c_name"), None)).agg(F.count("*").alias("n"))
 
 
-@register("effective_ids", "SELECT o_orderkey, 'R5-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || ',S2-1234567' || CASE WHEN o_orderkey % 2 = 0 THEN ',R5-7654321' ELSE '' END AS ids FROM orders WHERE o_orderkey < 10000000")
+@register("effective_ids", "SELECT o_orderkey, 'R5-' || right('000000' || o_orderkey, 7) || ',S2-1234567' || CASE WHEN o_orderkey % 2 = 0 THEN ',R5-7654321' ELSE '' END AS ids FROM orders")
 def effective_ids(spark, sf_dir):
-    """Numbers of subject, detail and attachment addresses, first seen first."""
-    n = F.lpad(F.col("o_orderkey").cast("string"), 7, "0")
-    return table(spark, sf_dir, "orders").where("o_orderkey < 10000000").select(
-        "o_orderkey", F.array_join(tx.ids_in(F.concat(F.lit("Re: r5-"), n), F.lit("see S2-1234567"), F.concat(F.lit("http://x/"), F.when(F.col("o_orderkey") % 2 == 0, "R5%2D7654321").otherwise("s2-1234567"), F.lit(".zip"))), ",").alias("ids")
+    """Numbers of subject, detail and attachment addresses, first seen first; revisions and groups that don't exist don't count."""
+    n = F.right(F.concat(F.lit("000000"), F.col("o_orderkey").cast("string")), F.lit(7))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.array_join(tx.ids_in(F.concat(F.lit("Re: r5-"), n, F.lit("r2")), F.lit("see S2-1234567, not S9-1234567"), F.concat(F.lit("http://x/"), F.when(F.col("o_orderkey") % 2 == 0, "R5%2D7654321").otherwise("s2-1234567"), F.lit(".zip"))), ",").alias("ids")
     )

@@ -73,12 +73,16 @@ def parse_selection(spark, sf_dir):
     return todo.select("doc_id", body.alias("body"), more.alias("truncated"))
 
 
-@register("candidate_groups", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'R5-' WHEN 1 THEN 'RP-' WHEN 2 THEN 'S2-' END AS prefix, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderkey AS BIGINT) END AS number, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderkey // 100000 AS INT) END AS year FROM orders WHERE o_orderkey < 10000000")
+#: A key's last seven digits, as a document number has seven.
+_SEVEN = "right('000000' || o_orderkey, 7)"
+
+
+@register("candidate_groups", f"SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'R5-' WHEN 1 THEN 'RP-' WHEN 2 THEN 'S2-' END AS prefix, CASE WHEN o_orderkey % 4 < 3 THEN CAST({_SEVEN} AS BIGINT) END AS number, CASE WHEN o_orderkey % 4 < 3 THEN CAST(left({_SEVEN}, 2) AS INT) END AS year FROM orders")
 def candidate_groups(spark, sf_dir):
     """The group and number that a document number names; nothing for other labels."""
     k = F.col("o_orderkey")
-    label = F.concat(F.element_at(F.array(*map(F.lit, ("R5-", "RP-", "S2-", "xx-x"))), (k % 4 + 1).cast("int")), F.lpad(k.cast("string"), 7, "0"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 10000000").select("o_orderkey", label.alias("label"))
+    label = F.concat(F.element_at(F.array(*map(F.lit, ("R5-", "RP-", "S2-", "xx-x"))), (k % 4 + 1).cast("int")), F.right(F.concat(F.lit("000000"), k.cast("string")), F.lit(7)))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"))
     prefix, number = tx.id_parts(F.col("label"))
     known = F.col("label").rlike(f"(?i)^{tx.ID}$")
     return o.select("o_orderkey", F.when(known, prefix).alias("prefix"), F.when(known, number).alias("number"), tx.id_year(F.col("label")).alias("year"))
