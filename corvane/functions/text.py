@@ -44,8 +44,9 @@ def let(value: Column, f) -> Column:
 def tokens(text: Column, fold: bool = True) -> Column:
     """Lower-case words of letters and digits without diacritics, in order."""
     low = F.lower(text)
-    if fold:
-        low = F.regexp_replace(F.translate(low, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+    if fold:  # only where there is a character of more than a byte
+        plain = F.regexp_replace(F.translate(low, _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+        low = F.when(F.octet_length(low) > F.length(low), plain).otherwise(low)
     return F.filter(F.split(low, SEPARATORS), lambda x: x != "")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.text import any_of, let, tokens
 from ..session import cut
 from .snapshots import Bundle, Stored
-from .textsearch import B, K1, Index, IndexUnavailableError, Op, Phrase, _all_phrases, _hit, collapse_marks, indexed, parse, phrases
+from .textsearch import B, K1, Index, IndexUnavailableError, Op, Phrase, _all_phrases, _hit, collapse_marks, indexed, known_columns, parse, phrases
 
 #: Postings in a block, folders of terms, segments of a size before they're merged, and the nominal length for the order by impact.
 BLOCK, BUCKETS, FANOUT, NOMINAL = 128, 16, 4, 200.0
@@ -283,7 +283,7 @@ class SegmentedIndex:
         """key, score: what `textsearch.search` gives on the texts of the live rows."""
         if self.version is None:
             return self.at(self.bundle.current()).search(query, weights, passing, limit, digits)
-        wanted = sorted({(t, p.prefix and k == len(p.terms) - 1) for p in _all_phrases(parse(query)) for k, t in enumerate(p.terms)})
+        wanted = sorted({(t, p.prefix and k == len(p.terms) - 1) for p in _all_phrases(known_columns(parse(query), weights)) for k, t in enumerate(p.terms)})
         hits = self._alive(self._exploded(self._asked(wanted), "all_positions"))
         each = hits.select("term", "key", F.posexplode("all_positions").alias("i", "positions")).where(F.size("positions") > 0)
         names = F.array(*[F.lit(c) for c in self.columns])

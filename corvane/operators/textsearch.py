@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ID, SEPARATORS, all_of, any_of, fold_text, let, normalize_ids, tokens
+from ..session import cut
 
 K1, B = 1.2, 0.75
 #: Words of which a query may not consist alone, and marks that make a text a query expression.
@@ -253,11 +254,13 @@ def search(
 
     Statistics are those of the whole table, whatever `where` lets pass. Ties go to the smaller key.
     """
-    tree = parse(query)
+    tree = known_columns(parse(query), columns)
     with_tokens = rows.select("*", *[tokens(indexed(F.col(c))).alias(f"toks_{c}") for c in columns])
     toks = {c: F.col(f"toks_{c}") for c in columns}
     length = reduce(lambda a, b: a + b, [F.size(t) for t in toks.values()])
     counted = with_tokens.select(F.col(key), length.alias("len_"), (where if where is not None else F.lit(True)).alias("pass_"), *_counts(tree, toks, columns))
+    # a few numbers a row: both readers take them from here, and texts are read once
+    counted = cut(counted)
     stats = counted.agg(F.count("*").alias("n_"), F.avg("len_").alias("avg_"), *_frequencies(tree))
     return _best(counted.crossJoin(F.broadcast(stats)), tree, key, limit, digits)  # one row
 
@@ -325,7 +328,7 @@ class Index:
 
     def search(self, query: str, weights: dict[str, float], passing: DataFrame | None = None, limit: int | None = 20, digits: int = 6) -> DataFrame:
         """key, score: the same rows as `search` gives on the texts. Only the postings of the query's terms are read; `passing` lists keys that may be hits."""
-        tree, key = parse(query), self.key
+        tree, key = known_columns(parse(query), weights), self.key
         asked = sorted({(t, p.prefix and k == len(p.terms) - 1) for p in _all_phrases(tree) for k, t in enumerate(p.terms)})
         name = {a: i for i, a in enumerate(asked)}
         here = any_of([_hit(F.col("term"), t, prefix) for t, prefix in asked])
@@ -348,7 +351,7 @@ class Index:
             return of
 
         toks = {c: starts(c) for c in weights}
-        counted = found.select(key, *_counts(tree, toks, weights))
+        counted = cut(found.select(key, *_counts(tree, toks, weights)))
         stats = self.lengths.agg(F.count("*").alias("n_"), F.avg("len_").alias("avg_")).crossJoin(F.broadcast(counted.agg(*_frequencies(tree))))  # one row each
         hits = counted.where("match_").join(self.lengths, key).withColumn("pass_", F.lit(True))
         if passing is not None:
@@ -356,6 +359,14 @@ class Index:
         return _best(hits.crossJoin(F.broadcast(stats)), tree, key, limit, digits)
 
 
+def known_columns(tree, columns):
+    """The tree; QueryError if it names a column that isn't searched."""
+    for p in _all_phrases(tree):
+        if p.column is not None and p.column not in columns:
+            raise QueryError(f"there is no column {p.column}")
+    return tree
+
+
 def _all_phrases(node) -> list[Phrase]:
     """Every phrase of the tree, those under NOT included."""
     if isinstance(node, Op):

@@ -42,7 +42,7 @@ def best_per_parent(scored: DataFrame, parent: str, key: str, k: int | None = No
 
 
 def hashed_embedding(toks: Column, dims: int = 64) -> Column:
-    """A deterministic offline embedding of tokens: signed hashed counts, L2-normed."""
+    """A deterministic offline embedding of tokens: hashed counts, L2-normed, as a full array; `encoding.sparse_vectors` has signed ones for many dimensions."""
     def spread(at: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(at, lambda a: a == d)).cast("double"))
 

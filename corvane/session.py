@@ -43,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="corvane-shared-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 

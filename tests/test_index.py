@@ -143,3 +143,12 @@ def test_a_failed_batch_goes_item_by_item():
     bad = snapshots.each_that_fits(list(range(20)), act)
     assert set(bad) == {3, 10, 17} and "ValueError: no good" in bad[3] and sorted([*done, *bad]) == list(range(20)) and len(calls) < 40
     assert snapshots.each_that_fits([], act) == {}
+
+
+def test_an_unknown_column_is_an_error(spark, tmp_path):
+    rows = _frame(spark, [("a", 1, "ab", "cd")])
+    index = SegmentedIndex(Bundle(spark, str(tmp_path / "ix")), "id", ("title", "body"))
+    index.apply(rows)
+    for ask in (lambda q: textsearch.search(rows, q, "id", W), lambda q: index.search(q, W), lambda q: index.top_k(q, W)):
+        with pytest.raises(textsearch.QueryError):
+            ask("ab AND nowhere:cd")
