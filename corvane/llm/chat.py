@@ -34,7 +34,6 @@ PACK_CHARS = 1 << 20
 
 _OPEN = re.compile(r"<(\\*)\|")
 _SHUT = re.compile(r"<\\(\\*)\|")
-_TURN = re.compile(r"<\|im_start\|>(.*?)\n([^\0]*?)<\|im_end\|>\n", re.S)
 
 PACK_SCHEMA = (
     "pack_id string, text string, "
@@ -142,7 +141,7 @@ class _Pack:
     def row(self) -> dict:
         text = "".join(self.texts)
         first = self.members[0]["conv_id"]
-        name = hashlib.md5(f"{first}:{len(self.members)}:{self.size}:{text[:4096]}".encode("utf-8", "surrogatepass")).hexdigest()
+        name = hashlib.md5(f"{first}:{len(self.members)}:{self.size}:{text}".encode("utf-8", "surrogatepass")).hexdigest()
         return {"pack_id": name, "text": text, "nodes": self.nodes, "members": self.members}
 
 

@@ -192,7 +192,7 @@ def learn(documents: DataFrame, may_learn: Column, per_lang: int = PER_LANG) ->
     parts = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (got.column("at"), got.column("n"))]
     bounds = parts[0].offsets.to_numpy()
     at, n = (x.values.to_numpy() for x in parts)
-    order = sorted(range(len(ids)), key=lambda i: (langs[i], hash(ids[i]), ids[i]))
+    order = sorted(range(len(ids)), key=lambda i: (langs[i], ids[i]))
     return fit([(at[bounds[i] : bounds[i + 1]].astype(np.int64), n[bounds[i] : bounds[i + 1]], langs[i]) for i in order], idf)
 
 

@@ -28,7 +28,7 @@ the driver but row counts.
 
 Defined results: null text counts as empty; texts without words all have the empty shingle set and
 are one group; fewer than five words are one shingle; rows with equal doc_id are treated as one
-document (the greatest text); a null doc_id takes no part; further columns are ignored.
+document (that with the greatest digest); a null doc_id takes no part; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ and answers the least doc_id of every window. (3) The cell marks its documents.
 Whole copies of a document with a smaller doc_id are found first, by digest, and aren't sent at all:
 all of their windows are covered, and whatever occurs in them also occurs in that document.
 
-A passage that a third of all documents share costs its bucket one stretch per cell, not per document.
+A passage that a third of all documents share costs its bucket one stretch per cell, where the stretch is the same in all; a phrase
+shorter than `length` has another stretch around it in each document, and costs its bucket all of these.
 Cells and buckets grow in number with the bytes, not in size. The text is shuffled once (all steps read
 the same exchange); nothing is broadcast or collected but one sum.
 
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
+from .common import cut, parts_for, trimmed
 from .neardup import mix
 
 LENGTH, KMER, CELL_BYTES = 50, 16, 6 << 20
@@ -447,7 +448,7 @@ def _stages(length: int, buckets: int, keep_text: bool, carry: tuple[str, ...]):
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary(), pa.string()]
         return pa.table([*(pa.array(v, t) for v, t in zip(out.values(), types, strict=True)), *(left.column(c) for c in carry)], [*out, *carry])
 
-    return anchors, shared, stretches, answers, marked
+    return tuple(map(trimmed, (anchors, shared, stretches, answers, marked)))
 
 
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary, cut_text string"
