@@ -382,9 +382,9 @@ def parents(hits: DataFrame, parent: str, key: str, limit: int = 20) -> DataFram
 
 
 def matched_source(query: str, columns: list[str]) -> Column:
-    """The first of the columns (in order of priority) that alone holds a phrase of the query; null if none does."""
+    """The first of the columns (in order of priority) in which a phrase of the query is found; null if there is none."""
     wanted = phrases(parse(query))
-    return F.coalesce(*[F.when(any_of([F.size(positions(tokens(indexed(F.col(c))), p)) > 0 for p in wanted]), F.lit(c)) for c in columns])
+    return F.coalesce(*[F.when(any_of([F.size(positions(tokens(indexed(F.col(c))), p)) > 0 for p in wanted if p.column in (None, c)]), F.lit(c)) for c in columns])
 
 
 def search_text(*parts: Column) -> Column:

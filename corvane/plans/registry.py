@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules whose import registers queries.
-MODULES = ("search_queries", "relational_queries", "function_queries", "list_queries", "index_queries", "segment_queries", "engine_queries")
+MODULES = ("search_queries", "relational_queries", "function_queries", "list_queries", "index_queries", "segment_queries", "engine_queries", "content_queries")
 
 
 def _load() -> None:
