@@ -5,8 +5,8 @@ met outside and inside the content of labelled pages. What a word scores also de
 stands (link, list item, heading, ...) and on the elements around it: landmark elements (nav, aside,
 ...) and the words of class, id and role values are features with weights of their own, the log odds of
 text under them to be content, so that words under a menu or an advert score negative. One linear scan
-finds the contiguous run of greatest sum, which is the content region; the text blocks in it whose own
-words score positive (which leaves an advert inside an article out) are the result.
+finds the contiguous run of greatest sum, which is the content region; a second one adds up its blocks, and
+those that don't come out negative by what stands around them (an advert inside an article does) are the result.
 
 Labelled pages are those whose author marked the content (an <article> or <main> element); the weights
 are learned on `SAMPLE` of them, the first by a hash of the page id among all such. `PRIOR_NAMES`
@@ -56,9 +56,12 @@ PRIOR_NAMES = set(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login promo promotion promoted "
     "sponsor sponsored sponsors related recommended recommendations share sharing social sidebar widget widgets menu menus nav navbar navigation "
     "navi topbar toolbar footer foot header masthead pagination pager paging tags taglist skip search searchform copyright legal disclaimer "
-    "complementary contentinfo reactions replies reply form".split()
+    "complementary contentinfo reactions replies reply".split()
 )
+#: Words that begin the name of a part of content (`post-ad`), or end that of a part of anything (`ad-content`), where they say nothing themselves.
 _KEEP = set("article content main post entry story body text".split())
+#: Of these, words that alone are taken to mark content before anything is learned, and the words that they then count as met inside it.
+CONTENT_NAMES, CONTENT_WORDS = ("article", "content", "post", "entry", "story"), 120
 
 Weights = dict[str, float]
 #: Words that a prior name counts as met outside of content, and any name as met on either side; how far around zero a name's weight lies.
@@ -77,7 +80,7 @@ def _log_odds(inside: float, outside: float) -> float:
 PRIOR: Weights = {"word:text": 1.0, "word:head": 1.0, "word:item": 0.5, "word:link": -0.6, "tag": -0.3}
 PRIOR |= {f"tag:{name}": -0.05 for name in "p br b i em strong span code sup sub h1 h2 h3".split()}
 PRIOR |= {f"name:{x}": _log_odds(0, PRIOR_WORDS) for x in PRIOR_NAMES} | {f"element:{x}": _log_odds(0, PRIOR_WORDS) for x in _ZONES}
-PRIOR |= {f"element:{x}": _log_odds(PRIOR_WORDS, 0) for x in _CONTENT}
+PRIOR |= {f"element:{x}": _log_odds(PRIOR_WORDS, 0) for x in _CONTENT} | {f"name:{x}": _log_odds(CONTENT_WORDS, 0) for x in CONTENT_NAMES}
 
 
 def _features(name: str, attributes: str, in_content: bool) -> list[str]:
@@ -86,16 +89,20 @@ def _features(name: str, attributes: str, in_content: bool) -> list[str]:
     if name in _ZONES or name in _CONTENT:
         out.append(f"element:{name}" if not (name == "header" and in_content) else "element:header inside")
     for m in _NAME.finditer(attributes):
-        words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower())
-        words = [w for w in words if w]
-        # a compound that begins as content does is what its last word says
-        out += [f"name:{w}" for w in (words[-1:] if words and words[0] in _KEEP else words)]
+        for each in (m[1] or m[2] or m[3] or "").split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", each).lower()) if w]
+            if len(words) > 1:
+                # a compound that begins as content does is what its last word says, one that ends so is what the others say
+                words = words[-1:] if words[0] in _KEEP else [w for w in words if w not in _KEEP]
+            out += [f"name:{w}" for w in words]
     return out
 
 
 def _element_weight(features: list[str], weights: Weights) -> float:
-    each = [weights.get(f, 0.0) for f in features]
-    return min(each) if each and min(each) < BAD else max(each, default=0.0)
+    """The log odds of an element's names, added up; of its kind, if no name of it is known (`<article class="comment">` is a comment)."""
+    names = [weights[f] for f in dict.fromkeys(features) if f.startswith("name:") and f in weights]
+    each = names or [weights.get(f, 0.0) for f in features]
+    return max(-MOST, min(MOST, sum(each)))
 
 
 #: A tag or a run of text: ("tag", name) or ("word", place), in marked content?, weight of the elements around, block, features around, words.
@@ -220,7 +227,8 @@ def weights_of(seen: Counter) -> Weights:
                 weights[f] = max(0.05, min(3.0, PRIOR.get(f, 1.0) + 0.1 * odds))
     for f in {f for f, _ in seen if f.startswith(("name:", "element:"))}:
         prior = PRIOR.get(f, 0.0)
-        weights[f] = _log_odds(seen[f, True] + PRIOR_WORDS * (prior > 0), seen[f, False] + PRIOR_WORDS * (prior < 0))
+        taken = CONTENT_WORDS if f.startswith("name:") else PRIOR_WORDS
+        weights[f] = _log_odds(seen[f, True] + taken * (prior > 0), seen[f, False] + PRIOR_WORDS * (prior < 0))
     return weights
 
 
@@ -258,8 +266,12 @@ def extract(page: str | None, weights: Weights = PRIOR) -> str:
         return ""
     values, items, texts = scores(page, weights)
     first, last = best_run(values)
-    shown = dict.fromkeys(x[4] for x in items[first : last + 1] if x[0] == "word" and x[3] >= BAD)
-    return "\n\n".join(texts[b] for b in shown if texts[b])
+    # the second scan, within the run: a block counts by its words' distance from where boilerplate begins
+    inner: dict[int, float] = {}
+    for kind, _, _, around, block, _, words in items[first : last + 1]:
+        if kind == "word":
+            inner[block] = inner.get(block, 0.0) + words * (around - BAD)
+    return "\n\n".join(texts[b] for b, v in inner.items() if v >= 0 and texts[b])
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
