@@ -164,6 +164,18 @@ def search_block(
     return out
 
 
+def exact_block(base: np.ndarray, base_ids: np.ndarray, queries: np.ndarray, k: int, base_rows: np.ndarray, query_rows: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """As `search_block`, with all of `base` verified, one query at a time."""
+    out = []
+    for q, query in enumerate(queries):
+        others = np.flatnonzero(base_rows != query_rows[q])
+        if len(others):
+            s = exact_scores(base[others], query)
+            first = np.lexsort((base_ids[others], -s))[:k]
+            out.append((q, others[first], s[first]))
+    return out
+
+
 def exact_scores(base: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products added up component by component, so that equal vectors score equally wherever they stand."""
     total = np.zeros(len(base))
@@ -179,9 +191,12 @@ def _every(n: int):
 def search(
     vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
     block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
-    projections: int = PROJECTIONS, used: int = USED, ratio: float = RATIO, budget: float = BUDGET, seed: int = SEED,
+    projections: int = PROJECTIONS, used: int = USED, ratio: float = RATIO, budget: float = BUDGET, seed: int = SEED, exact: bool = False,
 ) -> DataFrame:
-    """The k nearest found of every row for which `is_query` (a Column on `vec_id`) holds: query_id, rank, vec_id, score."""
+    """The k nearest found of every row for which `is_query` (a Column on `vec_id`) holds: query_id, rank, vec_id, score.
+
+    With `exact` every vector of a block is verified, so that nothing is missed; it costs what comparing all of them costs.
+    """
     v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     v = v.where(
         F.col("vec_id").isNotNull()
@@ -214,12 +229,14 @@ def search(
         if left.num_rows and right.num_rows:
             x, y = (t.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims) for t in (left, right))
             ids, asks, rows, own = (t.column(c).to_numpy() for c, t in (("vec_id", left), ("vec_id", right), ("row", left), ("row", right)))
-            for q, found, s in search_block(x, ids, y, asks, top_norm, k, projections, used, ratio, budget, seed, rows, own):
+            near = exact_block(x, ids, y, k, rows, own) if exact else search_block(x, ids, y, asks, top_norm, k, projections, used, ratio, budget, seed, rows, own)
+            for q, found, s in near:
                 got.append((np.full(len(found), own[q]), np.full(len(found), asks[q]), ids[found], s))
         parts = [np.concatenate(p) for p in zip(*got, strict=True)] if got else [*[np.empty(0, np.int64)] * 3, np.empty(0)]
         return pa.table(parts, ["query_row", "query_id", "vec_id", "score"])
 
-    near = base.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(cell, schema)
+    # (written, as a plan that needs no column of it, such as a count's, would take columns from the cells' inputs)
+    near = cut(base.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInArrow(cell, schema))
     w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
