@@ -86,10 +86,13 @@ def contiguous(rows: DataFrame, parent: str, index: str) -> DataFrame:
 
 
 def islands(rows: DataFrame, key: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
-    """Unions of intervals that overlap, touch or leave at most `gap` between them (integers or dates): key, start, end."""
-    w = Window.partitionBy(*key).orderBy(start, end)
+    """Unions of intervals that overlap, touch or leave at most `gap` between them (integers or dates): key, start, end.
+
+    A row without a start counts to its key's last union. Nothing opens a union before the first end of its key.
+    """
+    w = Window.partitionBy(*key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.select(*key, start, end, F.coalesce((F.col(start) > before + (1 + gap)).cast("int"), F.lit(1)).alias("new"))
+    marked = rows.select(*key, start, end, F.coalesce((F.col(start) > before + (1 + gap)).cast("int"), F.lit(0)).alias("new"))
     return marked.select("*", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run")).groupBy(*key, "run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("run")
 
 

@@ -232,7 +232,9 @@ r AS (SELECT *, sum(n) OVER (PARTITION BY l_orderkey ORDER BY a ROWS UNBOUNDED P
 def gap_bridged_runs(spark, sf_dir):
     """Runs of marked lines that at most two plain ones part."""
     li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' or l_quantity > 40")
-    return tb.islands(li.select("l_orderkey", F.col("l_linenumber").alias("a"), F.col("l_linenumber").alias("z")), ["l_orderkey"], "a", "z", gap=2)
+    li = li.select("l_orderkey", F.col("l_linenumber").alias("a"), F.col("l_linenumber").alias("z"))
+    # a line without a number is a run of its own
+    return tb.islands(li.where("a is not null"), ["l_orderkey"], "a", "z", gap=2).unionByName(li.where("a is null"))
 
 
 @register("message_order", "SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 50")

@@ -238,3 +238,45 @@ def test_delimited_containment_join_is_whole(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey bigint, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = sorted(map(tuple, registry.queries()["delimited_containment_join"](spark, str(tmp_path)).collect()))
     assert got == sorted({(k, w) for k, name in parts for w in name.split()})
+
+
+def _against_sql(spark, name, table, path):
+    """Sorted rows of the query over a folder with one table, and those of its SQL."""
+    import duckdb
+
+    from corvane.plans import registry
+
+    c = duckdb.connect(config={"threads": 1})
+    c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+    want = c.sql(registry.oracle_sql()[name])
+    return sorted(map(repr, map(tuple, registry.queries()[name](spark, str(path)).select(*want.columns).collect()))), sorted(map(repr, want.fetchall()))
+
+
+def test_coverage_islands_with_nulls(spark, tmp_path):
+    # absent times, absent ids (no end), both before the first end and after it; a user of absent times alone
+    days = [(1, 1, 3), (None, 1, 20), (2, 1, None), (4, 2, None), (7, 2, 9), (8, 2, 21), (10, 3, None), (13, 3, None), (16, None, 1), (17, None, 9), (18, None, None)]
+    rows = [(i, None if day is None else dt.datetime(2024, 1, day), user) for i, user, day in days] + [(None, dt.datetime(2024, 1, 3), 4), (6, dt.datetime(2024, 1, 12), 4), (None, dt.datetime(2024, 1, 30), 4)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    got, want = _against_sql(spark, "coverage_islands", "events", tmp_path)
+    assert got == want and len(got) == 9
+
+
+def test_gap_bridged_runs_with_nulls(spark, tmp_path):
+    rows = [(k, n, 50.0, "N") for k, n in [(1, 1), (1, 4), (1, 8), (1, None), (1, None), (2, None), (3, 5), (None, 1), (None, None)]] + [(3, 6, 1.0, "R"), (3, 11, 40.0, "N"), (3, 12, 1.0, "R")]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, want = _against_sql(spark, "gap_bridged_runs", "lineitem", tmp_path)
+    assert got == want and len(got) == 9
+
+
+@pytest.mark.parametrize("gap", [0, 2])
+def test_islands_whatever_the_order_of_equal_rows(spark, gap):
+    chance = random.Random(5)
+    rows = [(k, a, a + chance.randrange(3)) for k in range(40) for a in (chance.randrange(40) for _ in range(12))] * 3
+    want = []
+    for k in range(40):
+        met = {n for x, a, z in rows if x == k for n in range(a, z + 1)}
+        met |= {n for n in range(40) if any(n - i in met and n + j in met for i in range(1, gap + 1) for j in range(1, gap + 2 - i))}
+        want += [(k, n, next(m for m in range(n, 99) if m + 1 not in met)) for n in met if n - 1 not in met]
+    for _ in range(2):
+        chance.shuffle(rows)
+        assert sorted(map(tuple, tables.islands(spark.createDataFrame(rows, "k int, a int, z int"), ["k"], "a", "z", gap).collect())) == sorted(want)
