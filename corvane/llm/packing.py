@@ -17,6 +17,8 @@ documents; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import collections
+import functools
 import heapq
 import itertools
 import json
@@ -37,9 +39,10 @@ SIZE, END_ID, CHUNK_PIECES = 4096, 2, 20_000
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
-#: How the tokenizer of the query parts a word in pieces, as its file has it, and the same for lower-case ASCII.
+#: How the tokenizer of the query parts a word in pieces, as its file has it, and the same for words of lower-case `_PLAIN`, a line each.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_PLAIN = re.compile(r"[\x21-\x7e¡«»¿À-ÿ]*")  # NFC leaves these as they are, and each has one lower case
+_PLAIN_PATTERN = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _WORD_END = "</w>"
 
 
@@ -53,26 +56,28 @@ def _laid(ids: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
 class WordTokenizer:
     """Ids of a tokenizer whose tokens never cross a space or line break, for many texts at a time.
 
-    The texts' distinct words (what lies between spaces and line breaks) are tokenized once and laid out
-    again by the numbers of words. Where the tokenizer parts words by `_PATTERN`, printable ASCII words
-    are parted here, and their distinct pieces are tokenized many in one call: the end mark of a piece's
-    last token tells them apart.
+    The texts' distinct words (what lies between spaces and line breaks) are tokenized once, remembered for
+    the next texts, and laid out by the numbers of words. Where the tokenizer parts words by `_PATTERN`,
+    words of `_PLAIN` are parted here, and their distinct pieces are tokenized many in one call: the end
+    mark of a piece's last token tells them apart. Beyond about `most` bytes of remembered words, those
+    met once are forgotten.
     """
 
-    def __init__(self, path: str, together: int = 200):
+    def __init__(self, path: str, together: int = 200, most: int = 48 << 20):
         # a task has one core; the tokenizer's own threads would only contend with the other tasks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.model, self.together, self.pieces = Tokenizer.from_file(path), together, None
+        self.model, self.together, self.most, self.pieces = Tokenizer.from_file(path), together, most, None
         form = json.loads(self.model.to_str())
         steps = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
         parted = [x.get("pattern", {}).get("Regex") for x in steps if x["type"] == "Split"] == [_PATTERN]
         lowered = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.special = re.compile("|".join(re.escape(x["content"]) for x in form["added_tokens"]) or r"(?!)")
-        if parted and lowered and form["model"].get("end_of_word_suffix") == _WORD_END:
+        if parted and lowered and [x["type"] for x in steps] == ["Split", "ByteLevel"] and form["model"].get("end_of_word_suffix") == _WORD_END:
             self.pieces = Tokenizer.from_str(self.model.to_str())
-            self.pieces.normalizer, self.pieces.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+            self.pieces.normalizer = normalizers.Sequence([])
+            self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocabulary = self.pieces.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
@@ -80,57 +85,83 @@ class WordTokenizer:
             # words come once: remembering them costs more than it saves
             if x is not None and hasattr(x.model, "_resize_cache"):
                 x.model._resize_cache(0)
+        self._remember({}, np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _remember(self, known: dict[str, int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known, self.known_ids, self.known_sizes = known, ids, sizes
+        self.again = np.zeros(len(known), bool)  # met since it was remembered
+        self.held = sum(map(len, known)) + 200 * len(known)  # bytes, about
+
+    @staticmethod
+    def _encoded(model, texts: list[str], each: int) -> Iterator[list[int]]:
+        """Ids of each text; an encoding holds much more than ids, so only `each` of them at once."""
+        for a in range(0, len(texts), each):
+            yield from (e.ids for e in model.encode_batch_fast(texts[a : a + each], add_special_tokens=False))
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, sizes.sum()), sizes
+        got = [np.array(x, np.uint32) for x in self._encoded(self.model, words, 10_000)]
+        return np.concatenate([np.empty(0, np.uint32), *got]), np.fromiter(map(len, got), np.int64, len(got))
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all words, end to end, and how many each word has."""
         if self.pieces is None:
             return self._each(words)
-        units: dict[str, int] = {}  # pieces of plain words
-        others: list[str] = []  # other words, numbered from -1 down
-        parts: list[int] = []
-        counts = []
-        plain = re.compile(r"[\x21-\x7e]*").fullmatch
-        for w in words:
-            if plain(w) and not ("<" in w and self.special.search(w)):
-                own = [units.setdefault(x, len(units)) for x in _ASCII_PATTERN.findall(w.lower())]
-                parts += own
-                counts.append(len(own))
-            else:
-                others.append(w)
-                parts.append(-len(others))
-                counts.append(1)
-        names = list(units)
-        lines = self.pieces.encode_batch_fast([" ".join(names[a : a + self.together]) for a in range(0, len(names), self.together)], add_special_tokens=False)
-        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in lines)])
+        plain = np.array([_PLAIN.fullmatch(w) is not None and not ("<" in w and self.special.search(w)) for w in words], bool)
+        text = "".join(w + "\n" for w in itertools.compress(words, plain)).lower()
+        units = collections.defaultdict(itertools.count().__next__, {"\n": -1})  # distinct pieces by number
+        parts = _PLAIN_PATTERN.findall(text)
+        order = np.fromiter(map(units.__getitem__, parts), np.int64, len(parts))
+        names = list(units)[1:]
+        lines = [" ".join(names[a : a + self.together]) for a in range(0, len(names), self.together)]
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(x, np.uint32) for x in self._encoded(self.pieces, lines, 50))])
         ends = np.flatnonzero(self.ends[ids])
         if len(ends) != len(names):
             return self._each(words)
-        sizes = np.diff(np.r_[-1, ends])
-        more, more_sizes = self._each(others)
-        order = np.array(parts, np.int64)
-        order = np.where(order < 0, len(names) - 1 - order, order)
-        ids, sizes = np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
-        bounds = np.r_[0, np.cumsum(np.array(counts, np.int64))]
-        total = np.r_[0, np.cumsum(sizes[order])]
-        return _laid(ids, sizes, order), np.diff(total[bounds])
+        sizes = np.append(np.diff(np.r_[-1, ends]), 0)  # a line's end has none
+        total = np.cumsum(sizes[order])[order < 0]
+        more, more_sizes = self._each(list(itertools.compress(words, ~plain)))
+        ids, sizes = np.concatenate([_laid(ids, sizes, order[order >= 0]), more]), np.concatenate([np.diff(np.r_[0, total]), more_sizes])
+        place = np.empty(len(words), np.int64)
+        place[np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]] = np.arange(len(words))
+        return _laid(ids, sizes, place), sizes[place]
+
+    def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the remembered words and these (distinct) ones, end to end, how many each has, and which of them are these."""
+        at = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        fresh = [words[i] for i in new.tolist()]
+        self.again[at[at >= 0]] = True
+        ids, sizes = self.words(fresh)
+        at[new] = np.arange(len(fresh)) + len(self.known)
+        ids, sizes = np.concatenate([self.known_ids, ids]), np.concatenate([self.known_sizes, sizes])
+        self.known.update(zip(fresh, at[new].tolist(), strict=True))
+        self.known_ids, self.known_sizes, self.again = ids, sizes, np.append(self.again, np.zeros(len(fresh), bool))
+        self.held += sum(map(len, fresh)) + 200 * len(fresh)
+        if self.held > self.most:
+            kept = itertools.compress(list(self.known), self.again)
+            self._remember({w: i for i, w in enumerate(kept)}, _laid(ids, sizes, np.flatnonzero(self.again)), sizes[self.again])
+            if self.held > self.most // 2:
+                self._remember({}, ids[:0], sizes[:0])
+        return ids, sizes, at
 
     def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts (strings without nulls), end to end, each followed by `end_id`, and where each text's ids end."""
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = parts.flatten().dictionary_encode()
-        ids, sizes = self.words(coded.dictionary.to_pylist())
+        ids, sizes, at = self.table(coded.dictionary.to_pylist())
         # the end is one more word, after each text's own
         ids, sizes = np.append(ids, np.uint32(end_id)), np.append(sizes, 1)
         bounds = parts.offsets.to_numpy().astype(np.int64)[1:] - parts.offsets[0].as_py()
-        order = np.insert(coded.indices.to_numpy(), bounds, len(sizes) - 1)
+        order = np.insert(at[coded.indices.to_numpy()], bounds, len(sizes) - 1)
         return _laid(ids, sizes, order), np.cumsum(sizes[order])[bounds + np.arange(len(texts))]
 
 
+@functools.lru_cache(maxsize=1)
+def _word_tokenizer(path: str) -> WordTokenizer:
+    """One a worker process, for all its tasks."""
+    return WordTokenizer(path)
+
+
 def _slices(texts: pa.Array, most: int) -> Iterator[slice]:
     """Runs of texts of about `most` bytes."""
     total = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
@@ -143,7 +174,7 @@ def _slices(texts: pa.Array, most: int) -> Iterator[slice]:
 
 def _tokenizer(path: str, size: int, end_id: int, most: int = 32 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = _word_tokenizer(path)
         for batch in batches:
             all_ids, all_texts = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")
             for part in _slices(all_texts, most):

@@ -266,6 +266,29 @@ def test_word_tokenizer():
         assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
 
 
+@pytest.mark.parametrize("most", [48 << 20, 3000, 0])
+def test_word_tokenizer_remembers(most):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    chance = random.Random(3)
+    latin = "".join(map(chr, range(0x21, 0x180))) + "\u0301\u03a3"
+    words = ["".join(chance.choices(latin, k=chance.randrange(1, 9))) for _ in range(60)] + ["Don't", "ÜBER'S", "1²½", "ÀÉ×÷ß", "«¿Qué?»", "µ'd", "<|endoftext|>", ""]
+    tokenizer, asked = packing.WordTokenizer(path, 7, most), []
+    plain_words, model = tokenizer.words, Tokenizer.from_file(path)
+    tokenizer.words = lambda xs: asked.extend(xs) or plain_words(xs)
+    for _ in range(8):
+        texts = [" ".join(chance.choices(words, k=12)) for _ in range(6)]
+        want = [e.ids + [2] for e in model.encode_batch(texts, add_special_tokens=False)]
+        ids, ends = tokenizer.ids(pa.array(texts), 2)
+        assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+        assert tokenizer.held <= most and len(tokenizer.known) == len(tokenizer.known_sizes) == len(tokenizer.again)
+    assert (len(asked) == len(set(asked))) == (most > 3000) and set(asked) <= set(words)
+
+
 def test_shortest_pack_first():
     rng = random.Random(5)
     for _ in range(60):
