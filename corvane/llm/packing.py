@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
+from .common import cut, parts_for, release
 
 SIZE, END_ID, CHUNK_PIECES = 4096, 2, 20_000
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -63,7 +63,7 @@ class WordTokenizer:
     met once are forgotten.
     """
 
-    def __init__(self, path: str, together: int = 200, most: int = 48 << 20):
+    def __init__(self, path: str, together: int = 200, most: int = 24 << 20):
         # a task has one core; the tokenizer's own threads would only contend with the other tasks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -187,6 +187,8 @@ def _tokenizer(path: str, size: int, end_id: int, most: int = 32 << 20):
                         rows.append((doc_id, at - start, z - at, zlib.crc32(raw[4 * at : 4 * z]), end - start))
                     start = end
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                del ids, raw, rows
+                release()
 
     return run
 
