@@ -92,7 +92,7 @@ def islands(rows: DataFrame, key: list[str], start: str, end: str, gap: int = 0)
     """
     w = Window.partitionBy(*key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.select(*key, start, end, F.coalesce((F.col(start) > before + (1 + gap)).cast("int"), F.lit(0)).alias("new"))
+    marked = rows.select(*key, start, end, F.coalesce((F.col(start) > F.try_add(before, F.lit(1 + gap))).cast("int"), F.lit(0)).alias("new"))  # nothing starts beyond the type's end
     return marked.select("*", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run")).groupBy(*key, "run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("run")
 
 

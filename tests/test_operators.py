@@ -268,6 +268,14 @@ def test_gap_bridged_runs_with_nulls(spark, tmp_path):
     assert got == want and len(got) == 9
 
 
+@pytest.mark.parametrize("kind, top", [("int", 2**31 - 1), ("bigint", 2**63 - 1)])
+def test_gap_bridged_runs_up_to_the_greatest_number(spark, tmp_path, kind, top):
+    rows = [(k, n, 50.0, "N") for k, n in [(1, top), (1, top - 1), (1, top - 3), (1, top - 7), (2, top - 3), (2, top), (3, -top - 1), (3, 3 - top), (3, 2 - top), (4, top)]]
+    spark.createDataFrame(rows, f"l_orderkey bigint, l_linenumber {kind}, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, want = _against_sql(spark, "gap_bridged_runs", "lineitem", tmp_path)
+    assert got == want and len(got) == 5
+
+
 @pytest.mark.parametrize("gap", [0, 2])
 def test_islands_whatever_the_order_of_equal_rows(spark, gap):
     chance = random.Random(5)
